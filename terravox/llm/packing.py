@@ -12,12 +12,14 @@ with its neighbours only in its last few sequences.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,34 +169,65 @@ def pack(sizes: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndarray, np.nd
     return out_bin, out_at
 
 
-class Ids:
-    """Token ids of texts by the tokenizers library, remembered for each chunk between spaces and line feeds.
+#: Chunks whose pre-tokens are found here: visible ASCII and Latin letters, where NFC and lower-casing are one character to one.
+_PLAIN = regex.compile(r"[!-~¡-¬®-įı-ň]*")
+#: The tokenizer file's own pattern, for lower-cased chunks without white space.
+_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-    The library's own pre-tokenizer never crosses white space, so the ids of a text are those of its chunks."""
 
-    def __init__(self, path: str, memo: int = 500_000) -> None:
-        import os
+class Ids:
+    """Token ids of texts by the tokenizers library, remembered for chunks between spaces and line feeds.
 
+    The library's pre-tokenizer never crosses white space, so the ids of a text are those of its chunks. Chunks of
+    plain characters are cut into pre-tokens, which have a memo of their own (many chunks differ only in case and
+    punctuation); new ones go to the library together, with spaces between, and are told apart by their word ends.
+    Other chunks go to the library as they are.
+    """
+
+    def __init__(self, path: str, memo: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.at_most, self.memo = Tokenizer.from_file(path), memo, {"": b""}
+        self.tokenizer, self.at_most = Tokenizer.from_file(path), memo
+        self.memo: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").split(" ") for t in found]
         fresh = list({c for s in split for c in s} - self.memo.keys())
-        if len(self.memo) + len(fresh) > self.at_most:
+        if len(self.memo) + len(fresh) > self.at_most:  # the older half goes, but for what is needed now
             keep = {c: self.memo[c] for c in {c for s in split for c in s} & self.memo.keys()}
-            old = list(self.memo)[-(self.at_most // 2) :]  # the older half goes, but for what is needed now
-            self.memo = {c: self.memo[c] for c in old} | keep | {"": b""}
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[c] = np.array(e.ids, "<u4").tobytes()
+            self.memo = {c: self.memo[c] for c in list(self.memo)[-(self.at_most // 2) :]} | keep | {"": b""}
+        if len(self.words) > self.at_most:
+            self.words = {c: self.words[c] for c in list(self.words)[-(self.at_most // 2) :]}
+        self._learn(fresh)
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def _learn(self, fresh: list[str]) -> None:
+        plain = {c: _PRETOKENS.findall(c.lower()) for c in fresh if _PLAIN.fullmatch(c) and not any(t in c for t in self.special)}
+        new = list({w for ws in plain.values() for w in ws} - self.words.keys())
+        for i in range(0, len(new), 2048):
+            some = new[i : i + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.nonzero(self.ends[ids])[0] + 1
+            if len(cut) != len(some):  # a word end inside a pre-token: not in this vocabulary
+                raise ValueError("word ends don't match the pre-tokens")
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, (cut * 4).tolist(), strict=True):
+                self.words[w], at = data[at:end], end
+        get = self.words.__getitem__
+        for c, ws in plain.items():
+            self.memo[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
+        rest = [c for c in fresh if c not in plain]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.memo[c] = np.array(e.ids, "<u4").tobytes()
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Ids:

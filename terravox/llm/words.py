@@ -59,7 +59,7 @@ def shingles(word: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     out = np.zeros(n, np.uint64)
     for j in range(k):
         there = at + j < end
-        step = mix(word[np.minimum(at + j, n - 1)] + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
+        step = mix(word[np.minimum(at + j, n - 1)] + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + np.where(there, step, np.uint64(0)))
     many = np.maximum(count - k + 1, np.minimum(count, 1))
     return [np.unique(out[a : a + m]) for a, m in zip(first[:-1].tolist(), many.tolist(), strict=True)]
