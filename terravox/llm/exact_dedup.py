@@ -200,3 +200,9 @@ def exact_dedup(docs: DataFrame, largest: bool = True) -> DataFrame:
     """
     mine = docs.select("doc_id", digest().alias("text_sha256"))
     return mine.join(owners(docs, largest), "text_sha256", "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_owners(docs: DataFrame, largest: bool = True) -> DataFrame:
+    """The rows of docs, all columns, that own their text. Rows without a doc_id stay; repeated rows of an owner stay too."""
+    gone = exact_dedup(docs, largest).where("doc_id is not null and not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -11,6 +11,9 @@
 3. A 128-bit sketch next to the order drops candidates that are far below the threshold (4.5 standard deviations).
 4. What remains is confirmed on full sets computed again from the texts: first one pair for each node, then only
    pairs that the components so far don't already join. Components come from alternating stars.
+5. Crowded regions are gone through once more, now with the components known: in each, every node outside the
+   region's largest component meets all nodes of other components there on full sets, in chunks, so a text at the edge of a large group isn't lost to the few neighbours of step 2. A region with more than OUTSIDE such nodes
+   is cut by all DEPTH values first.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from .words import shingles, words
 TREES, DEPTH, FIRST, REGION, NEIGHBOURS = 20, 8, 4, 24, 2
 #: Rows of a range partition of the forest.
 ROWS = 150_000
+#: Nodes outside the largest component of a crowded region that meet the whole region.
+OUTSIDE = 4_096
+#: Texts of a chunk that they meet at a time.
+CHUNK = 256
 #: Sketch bits that may differ: 128 bits, of which a share (1 - similarity) / 2 differs on average.
 SKETCH = 128
 
@@ -92,11 +99,13 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(flat("node")), pa.array(flat("sketch1")), pa.array(flat("sketch2"))], ["tree", "key1", "key2", "node", "sketch1", "sketch2"])
 
 
-def neighbours(tree: np.ndarray, key1: np.ndarray, key2: np.ndarray, node: np.ndarray, sketch1: np.ndarray, sketch2: np.ndarray, limit: int) -> np.ndarray:
-    """Candidate pairs (smaller, larger) among rows sorted by (tree, key1, key2, node)."""
+def neighbours(tree: np.ndarray, key1: np.ndarray, key2: np.ndarray, node: np.ndarray, sketch1: np.ndarray, sketch2: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller, larger) among rows sorted by (tree, key1, key2, node), and which rows are in crowded regions.
+
+    The first and the last region may go on in other partitions and count as crowded."""
     n = len(node)
     if n < 2:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 2), np.int64), np.ones(n, bool)
     value = np.stack([key1, key2], axis=1).astype(np.int64).view(np.uint16).reshape(n, DEPTH)
     same = np.logical_and.accumulate((value[1:] == value[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1)
     common = np.concatenate([[0], same.sum(axis=1)])  # with the row before
@@ -120,7 +129,8 @@ def neighbours(tree: np.ndarray, key1: np.ndarray, key2: np.ndarray, node: np.nd
         left, right = node[left[differ <= limit]], node[right[differ <= limit]]
         found.append(np.stack([np.minimum(left, right), np.maximum(left, right)], axis=1)[left != right])
     pairs = np.concatenate(found)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+    full = (np.bincount(wide)[wide] > REGION) | (wide == wide[0]) | (wide == wide[-1])
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, full
 
 
 _FOUND = "a long, b long, seam long, " + _ROW
@@ -133,12 +143,15 @@ def _candidates(limit: int):
             return
         column = pa.Table.from_batches(rows)
         values = [column[c].to_numpy().view(np.uint64) if c.startswith("sketch") else column[c].to_numpy() for c in column.column_names]
-        pairs = neighbours(*values, limit)
+        pairs, crowded = neighbours(*values, limit)
         part, n = TaskContext.get().partitionId(), len(values[0])
         none = lambda k, t: pa.nulls(k, t)
         names = ["a", "b", "seam", *column.column_names]
         kinds = [f.type for f in column.schema]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(len(pairs), pa.int64()), *(none(len(pairs), t) for t in kinds)], names)
+        full = column.filter(pa.array(crowded)).combine_chunks()
+        if full.num_rows:
+            yield pa.RecordBatch.from_arrays([*(none(full.num_rows, pa.int64()) for _ in range(3)), *(c.chunk(0) for c in full.columns)], names)
         # what may have neighbours in the partition before or after
         for seam, at in ((part - 1, slice(0, REGION)), (part, slice(max(0, n - REGION), n))):
             edge = column.slice(at.start, at.stop - at.start).combine_chunks()
@@ -151,21 +164,101 @@ def _candidates(limit: int):
 def _seam(limit: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.select([c.split()[0] for c in _ROW.split(", ")]).sort_by([(c, "ascending") for c in _ORDER])
-        pairs = neighbours(*(table[c].to_numpy().view(np.uint64) if c.startswith("sketch") else table[c].to_numpy() for c in table.column_names), limit)
+        pairs, _ = neighbours(*(table[c].to_numpy().view(np.uint64) if c.startswith("sketch") else table[c].to_numpy() for c in table.column_names), limit)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def forest_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (a < b) of nodes(node, signature, sketch1, sketch2)."""
+def forest(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a < b) of nodes(node, signature, sketch1, sketch2), and the tree rows of crowded regions."""
     limit = sketch_limit(similarity)
     planted = nodes.mapInArrow(_planted, _ROW)
     parts = max(1, -(-nodes.count() * TREES // ROWS))
     ordered = planted.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
     found = written(ordered.mapInArrow(_candidates(limit), _FOUND), "forest")
     seams = found.where("seam is not null").groupBy("seam").applyInArrow(_seam(limit), "a long, b long")
-    return found.where("a is not null").select("a", "b").union(seams).distinct()
+    return found.where("a is not null").select("a", "b").union(seams).distinct(), found.where("a is null and seam is null").drop("a", "b", "seam")
+
+
+def _met(k: int, similarity: int):
+    """Over rows sorted by (tile, side): the texts of a chunk (side 0), then those that meet it (side 1), each against all at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, chunk, index = None, [], None
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingles(*words(*raw(ids_of(part, "text"))), k)
+                columns = [ids_of(part, c).to_pylist() for c in ("tree", "key1", "key2", "part", "side", "node", "own")]
+                links = []
+                for *at, side, node, own, found in zip(*columns, sets, strict=True):
+                    if at != tile:
+                        tile, chunk, index = at, [], None
+                    if side == 0:
+                        chunk.append((node, own, found))
+                        continue
+                    if not chunk:
+                        continue
+                    if index is None:
+                        index = Chunk(chunk)
+                    links += [(node, y) for y in index.linked(found, own, similarity)]
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    return run
+
+
+class Chunk:
+    """An inverted index over the shingles of some texts."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]) -> None:
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.own = np.array([r[1] for r in rows], np.int64)
+        self.size = np.array([len(r[2]) for r in rows], np.int64)
+        every, owner = np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.value, self.start = np.unique(every[order], return_index=True)
+        self.end = np.append(self.start[1:], len(every))
+
+    def linked(self, found: np.ndarray, own: int, similarity: int) -> list[int]:
+        """A linked node of each other component."""
+        if not len(found) or not len(self.value):
+            return []
+        at = np.minimum(np.searchsorted(self.value, found), len(self.value) - 1)
+        at = at[self.value[at] == found]
+        many = self.end[at] - self.start[at]
+        place = np.arange(int(many.sum())) + np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+        both = np.bincount(self.owner[place], minlength=len(self.node))
+        hit = np.nonzero((both > 0) & (100 * both >= similarity * (self.size + len(found) - both)) & (self.own != own))[0]
+        return self.node[hit[np.unique(self.own[hit], return_index=True)[1]]].tolist()
+
+
+def across(crowded: DataFrame, component: DataFrame, bodies: DataFrame, k: int, similarity: int) -> DataFrame:
+    """Links (a, b) between different components in crowded regions. component: (node, component), not for every node.
+
+    A region's nodes are dealt into chunks; each node outside its largest component meets every chunk, and the chunk's
+    inverted index gives all its intersections at once. Only one link for each node, chunk and component comes out."""
+    rows = crowded.join(component, "node", "left").select("tree", "key1", "key2", "node", F.coalesce("component", "node").alias("own"))
+    rows = written(rows, "crowded")
+
+    def sized(key: list[str]) -> DataFrame:
+        sizes = rows.groupBy(*key, "own").agg(F.count("*").alias("n"))
+        return sizes.groupBy(*key).agg(F.max_by("own", F.struct("n", "own")).alias("largest"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+
+    def tiles(found: DataFrame, regions: DataFrame, key: list[str], key2: F.Column) -> DataFrame:
+        inside = found.join(regions, key).withColumn("chunks", F.ceil(F.col("rows") / CHUNK))
+        columns = lambda part, side: ["tree", "key1", key2.alias("key2"), part.alias("part"), F.lit(side).alias("side"), "node", "own"]
+        dealt = inside.select(*columns(F.pmod(F.xxhash64("node"), "chunks"), 0))
+        return dealt.union(inside.where("own <> largest").select(*columns(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")), 1)))
+
+    wide, deep = sized(["tree", "key1"]), sized(["tree", "key1", "key2"])
+    over = wide.where(F.col("outside") > OUTSIDE).select("tree", "key1")
+    some = tiles(rows, wide.where(F.col("outside") <= OUTSIDE), ["tree", "key1"], F.lit(0).cast("long"))
+    more = tiles(rows, deep.join(over, ["tree", "key1"], "left_semi"), ["tree", "key1", "key2"], F.col("key2"))
+    tile = ["tree", "key1", "key2", "part"]
+    met = some.union(more).join(bodies, "node").repartition(*tile).sortWithinPartitions(*tile, "side")
+    return met.mapInArrow(_met(k, similarity), "a long, b long").distinct()
 
 
 def _confirm(k: int, similarity: int):
@@ -217,9 +310,10 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     first = groups.select(F.col("node").alias("doc_id"), *key)
     nodes = real.join(first, ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("node"), "signature", "sketch1", "sketch2").dropDuplicates(["node"])
     nodes = written(nodes, "nodes")
-    pairs = written(forest_pairs(nodes, similarity / 100), "pairs")
+    pairs, crowded = forest(nodes, similarity / 100)
+    pairs = written(pairs, "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("node")).distinct()
     bodies = written(own.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "bodies")
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(confirmed(some, bodies, k, similarity), "links")
@@ -227,8 +321,9 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(some, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = confirmed(written(rest, "rest"), bodies, k, similarity)
-    whole = components(links.union(more))
+    links = written(links.union(confirmed(rest, bodies, k, similarity)), "links")
+    joined = components(links)
+    whole = components(links.union(written(across(crowded, joined, bodies, k, similarity), "across")))
 
     found = groups.join(whole, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", *key).join(found, key, "left")
