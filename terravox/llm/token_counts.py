@@ -16,6 +16,7 @@ import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +61,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class PieceBPE:
     """Counts for a sentencepiece BPE model with the identity normaliser, byte fallback and a dummy prefix."""
 
-    def __init__(self, model: bytes, memo: int = 400_000) -> None:
+    def __init__(self, model: bytes, memo: int = 800_000) -> None:
         self.rank: dict[str, float] = {}
         self.at_most, self.memo = memo, {}
         self.bytes = False
@@ -83,7 +84,11 @@ class PieceBPE:
             raise ValueError("only models that leave the text as it is are supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("a piece has a space inside")
-        self.longest = max(map(len, self.rank))
+        self.automaton = ahocorasick.Automaton()
+        for piece in self.rank:
+            self.automaton.add_word(piece, piece)
+        self.automaton.make_automaton()
+        self.lines = all("\n" not in p for p in self.rank)
         self.fits_memo: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -133,23 +138,30 @@ class PieceBPE:
     def word(self, text: str) -> list[int]:
         """Tokens at every prefix of a word (spaces as U+2581), 0 first.
 
-        A character that is no piece is a token that no piece is merged with. Unknown characters of a model without
-        byte pieces count one each.
+        An automaton lists the pieces that end at each place, longest first. A character that is no piece is a token
+        that no piece is merged with. Unknown characters of a model without byte pieces count one each.
         """
-        rank, n = self.rank, len(text)
-        counts, last = [0] * (n + 1), [""] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):  # the longest token first
-                token = text[start:end]
-                if token not in rank:
-                    continue
-                before = last[start]
-                if self.fits(before, token) if before and before in rank else end - start == 1 or self.alone(token):
-                    counts[end], last[end] = counts[start] + 1, token
-                    break
+        n, done = len(text), 0
+        counts, last = [0] * (n + 1), [""] * (n + 1)  # "": the beginning, or a character that is no piece
+        known = self.fits_memo.get
+        for end, token in self.automaton.iter(text):
+            if end < done:
+                continue  # a longer piece ends here
+            while done < end:
+                counts[done + 1], done = counts[done] + self.cost(text[done]), done + 1
+            start = end + 1 - len(token)
+            before = last[start]
+            if before:
+                fit = known((before, token))
+                if fit is None:
+                    fit = self.fits(before, token)
             else:
-                char = text[end - 1]
-                counts[end], last[end] = counts[end - 1] + self.cost(char), char
+                fit = start == end or self.alone(token)
+            if fit:
+                done = end + 1
+                counts[done], last[done] = counts[start] + 1, token
+        while done < n:
+            counts[done + 1], done = counts[done] + self.cost(text[done]), done + 1
         return counts
 
     def _count(self, word: str) -> int:
@@ -161,10 +173,10 @@ class PieceBPE:
             self.memo[word] = out
         return out
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str, prefix: bool | None = None) -> list[str]:
         """Words of a text with the spaces before them; the joined parts are the text as the model sees it."""
         words = text.replace(" ", SPACE).split(SPACE)
-        if not self.prefix:
+        if not (self.prefix if prefix is None else prefix):
             head = words.pop(0)
             parts = [head] if head else []
         else:
@@ -184,11 +196,17 @@ class PieceBPE:
     def count(self, text: str) -> int:
         if not text:
             return 0
-        get, fresh, total = self.memo.get, self._count, 0
-        for word in self.parts(text):
-            n = get(word)
-            total += n if n is not None else fresh(word)
-        return total
+        if self.lines and "\n" in text:  # a line feed is no piece: nothing merges across it
+            first, *lines = text.split("\n")
+            out = self._sum(self.parts(first)) + len(lines) * self.cost("\n")
+            return out + sum(self._sum(self.parts(line, False)) for line in lines)
+        return self._sum(self.parts(text))
+
+    def _sum(self, words: list[str]) -> int:
+        found = list(map(self.memo.get, words))
+        if None in found:
+            found = [self._count(w) if n is None else n for w, n in zip(words, found, strict=True)]
+        return sum(found)
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i from 0 to len(text)."""
