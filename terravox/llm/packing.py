@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_of, mix, slices, texts
+from .common import LOWER, ids_of, mix, raw, slices
+from .word_table import WordTable
 
 SEQUENCE = 4096
 #: Documents of a block on average; nodes of the search for one bin, and across the bins of a small block.
@@ -178,55 +179,59 @@ _PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}
 class Ids:
     """Token ids of texts by the tokenizers library, remembered for chunks between spaces and line feeds.
 
-    The library's pre-tokenizer never crosses white space, so the ids of a text are those of its chunks. Chunks of
-    plain characters are cut into pre-tokens, which have a memo of their own (many chunks differ only in case and
+    The library's pre-tokenizer never crosses white space, nor goes from a letter to a full stop or comma, so the ids of
+    a text are those of its chunks; it lower-cases, so A-Z may be lower-cased before. Chunks of plain characters are cut into pre-tokens, which have a memo of their own (many chunks differ only in case and
     punctuation); new ones go to the library together, with spaces between, and are told apart by their word ends.
     Other chunks go to the library as they are.
     """
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, memo: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.at_most = Tokenizer.from_file(path), memo
-        self.memo: dict[str, bytes] = {"": b""}
+        # lower-case ASCII words are whole pre-tokens already: the same model without the steps before it
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer, self.letters.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.table = WordTable(self.learn)
 
-    def encode(self, found: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        split = [t.replace("\n", " ").split(" ") for t in found]
-        fresh = list({c for s in split for c in s} - self.memo.keys())
-        if len(self.memo) + len(fresh) > self.at_most:  # the older half goes, but for what is needed now
-            keep = {c: self.memo[c] for c in {c for s in split for c in s} & self.memo.keys()}
-            self.memo = {c: self.memo[c] for c in list(self.memo)[-(self.at_most // 2) :]} | keep | {"": b""}
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin."""
+        data, offsets = raw(column)
+        return self.table.encode(LOWER[data], offsets, marks=b".,")
+
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of chunks as little-endian unsigned 32-bit numbers."""
+        plain = {c: [c] if c.isascii() and c.isalpha() else _PRETOKENS.findall(c.lower()) for c in fresh if _PLAIN.fullmatch(c) and not ("<" in c and any(t in c for t in self.special))}
         if len(self.words) > self.at_most:
             self.words = {c: self.words[c] for c in list(self.words)[-(self.at_most // 2) :]}
-        self._learn(fresh)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        new = list(set().union(*plain.values()).difference(self.words))
+        letters = [w for w in new if w.isascii() and w.isalpha()]
+        self._learn(letters, self.letters)
+        self._learn([w for w in new if not (w.isascii() and w.isalpha())], self.tokenizer)
+        get = self.words.__getitem__
+        done = {c: get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for c, ws in plain.items()}
+        rest = [c for c in fresh if c not in done]
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            done[c] = np.array(e.ids, "<u4").tobytes()
+        return [done[c] for c in fresh]
 
-    def _learn(self, fresh: list[str]) -> None:
-        plain = {c: _PRETOKENS.findall(c.lower()) for c in fresh if _PLAIN.fullmatch(c) and not any(t in c for t in self.special)}
-        new = list({w for ws in plain.values() for w in ws} - self.words.keys())
+    def _learn(self, new: list[str], tokenizer) -> None:
+        """Many pre-tokens in one call, with spaces between."""
         for i in range(0, len(new), 2048):
             some = new[i : i + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.nonzero(self.ends[ids])[0] + 1
             if len(cut) != len(some):  # a word end inside a pre-token: not in this vocabulary
                 raise ValueError("word ends don't match the pre-tokens")
             data, at = ids.tobytes(), 0
             for w, end in zip(some, (cut * 4).tolist(), strict=True):
                 self.words[w], at = data[at:end], end
-        get = self.words.__getitem__
-        for c, ws in plain.items():
-            self.memo[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
-        rest = [c for c in fresh if c not in plain]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
-            self.memo[c] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -245,13 +250,14 @@ def pieces(docs: DataFrame, tokenizer: str, blocks: int, capacity: int = SEQUENC
         coder, row = load(tokenizer), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, at_most=1 << 20):
-                out = []
-                for ident, ids in zip(ids_of(part).to_pylist(), coder.encode(texts(ids_of(part, "text")).to_pylist()), strict=True):
-                    ids += last
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        out.append((ident, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            for part in slices(batch):
+                ids, begin = coder.encode(ids_of(part, "text"))
+                data, out = ids.astype("<u4").tobytes(), []
+                for ident, a, b in zip(ids_of(part).to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    own = data[4 * a : 4 * b] + last
+                    for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                        piece = own[at : at + 4 * capacity]
+                        out.append((ident, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 # by place, not by content: copies spread over the blocks like other rows
                 block = (mix(np.arange(row, row + len(out), dtype=np.uint64)) % np.uint64(blocks)).astype(np.int64)
