@@ -2,8 +2,8 @@
 
 Lookup has two tiers. A minimal perfect hash over the vocabulary's byte strings resolves a whole pre-token that is
 itself a token in one probe. What misses is merged: its bytes form a linked list, and a heap holds the ranks of
-neighbouring pairs, so a pre-token of n bytes takes n log n steps however long it is. Ids of the chunks between
-single spaces are remembered in a bounded memo in front of both tiers.
+neighbouring pairs, so a pre-token of n bytes takes n log n steps however long it is. A bounded memo of spans of text
+(a word with the space before it, a line feed, punctuation) stands in front of both tiers.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import ids_of, slices, texts
+from .common import ids_of, raw, slices
+from .word_table import _LETTER, WordTable
 
 
 class PerfectHash:
@@ -70,17 +72,50 @@ class PerfectHash:
         return self.index[slot] if self.keys[slot] == key else -1
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[44, 46]] = True
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def odd_white_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text: is there white space beside white space or at an end, or other than spaces and line feeds?"""
+    white = _WHITE[data]
+    both = np.zeros(len(data), bool)
+    both[1:] = white[1:] & white[:-1]
+    both |= white & (data != 32) & (data != 10)
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    ends = offsets[1:][np.diff(offsets) > 0] - 1
+    both[begins] |= white[begins]
+    both[ends] |= white[ends]
+    # the same by bytes outside ASCII: U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    lead = np.nonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))[0]
+    if len(lead):
+        far = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b, c = far[lead], far[lead + 1], far[lead + 2]
+        there = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        there |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        both[lead[there]] = True
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, np.nonzero(both)[0], side="right") - 1] = True
+    return out
+
+
 class ByteBPE:
     """encode() and decode() as the tiktoken library's encode_ordinary() and decode_bytes()."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 300_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000) -> None:
         self.pattern, self.at_most = regex.compile(pattern), memo
         tokens = sorted(ranks, key=ranks.__getitem__)
         self.hash, self.ids = PerfectHash(tokens), [ranks[t] for t in tokens]
-        self.bytes_of = {ranks[t]: t for t in tokens}
         # (id, id) -> id of the merge; a pair merges by the rank of what it makes
         self.merges = ranks
-        self.memo: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.table = WordTable(self._learn)
+        self.bytes_of = [b""] * (max(self.ids, default=-1) + 1)
+        for t in tokens:
+            self.bytes_of[ranks[t]] = t
+        self.decimal = [str(i).encode() for i in range(len(self.bytes_of))]
 
     def pretoken(self, piece: bytes) -> list[int]:
         whole = self.hash.find(piece)
@@ -111,46 +146,65 @@ class ByteBPE:
                     heapq.heappush(heap, (r, k, len(pair)))
         return [rank(p) for p in parts if p is not None]
 
-    def chunk(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.pretoken(piece.encode())]
-
-    def _miss(self, chunk: str) -> tuple[str, bytes]:
-        ids = self.chunk(chunk)
-        out = (" ".join(map(str, ids)), np.array(ids, "<u4").tobytes())
-        if len(self.memo) >= self.at_most:
-            for k in list(self.memo)[: self.at_most // 4]:  # the oldest quarter goes
-                del self.memo[k]
-        if len(chunk) < 64:
-            self.memo[chunk] = out
+    def _piece(self, piece: str) -> bytes:
+        out = np.array(self.pretoken(piece.encode()), "<u4").tobytes()
+        if len(piece) < 64:
+            if len(self.pieces) >= self.at_most:
+                for k in list(islice(self.pieces, self.at_most // 4)):  # the oldest quarter goes
+                    del self.pieces[k]
+            self.pieces[piece] = out
         return out
 
-    def encode(self, text: str) -> tuple[str, np.ndarray]:
-        """Decimal ids joined by one space, and the ids.
+    def _whole(self, text: str) -> list[bytes]:
+        """Ids of each pre-token, by a memo of their own: many spans differ only in punctuation."""
+        get, new = self.pieces.get, self._piece
+        return [get(p) or new(p) for p in self.pattern.findall(text)]
+
+    def _learn(self, spans: list[str]) -> list[bytes]:
+        return [b"".join(self._whole(s)) for s in spans]
 
-        A space between two non-spaces always begins a new pre-token, so a text is cut there first; every chunk keeps
-        the space before it. Where the text has other white space around a space, the pieces are put together again.
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self._whole(text)), "<u4")
+
+    def encode_batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin (one more place at the end).
+
+        Texts are cut into spans that no pre-token crosses: before a space that stands alone between other characters,
+        around a line feed that does, and between an ASCII letter and a full stop or comma. Spans are looked up in a
+        table of their bytes. Texts with white space next to white space, at an end or outside ASCII go as a whole.
         """
-        chunks = text.split(" ")
-        if len(chunks) > 1:
-            chunks = self._joined(chunks)
-        elif not text:
-            return "", np.zeros(0, "<u4")
-        get, miss = self.memo.get, self._miss
-        found = [get(c) or miss(c) for c in chunks]
-        return " ".join([s for s, _ in found]), np.frombuffer(b"".join([b for _, b in found]), "<u4")
-
-    def _joined(self, words: list[str]) -> list[str]:
-        if "" not in words and not any(w[0].isspace() or w[-1].isspace() for w in words):
-            return words[:1] + [" " + w for w in words[1:]]
-        out: list[str] = []
-        for i, w in enumerate(words):
-            if i and out[-1] and not out[-1][-1].isspace() and w and not w[0].isspace():
-                out.append(" " + w)
-            elif i:
-                out[-1] += " " + w
+        data, offsets = raw(column)
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        odd = odd_white_space(data, offsets)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[offsets] = True
+        line = data == 10
+        start = begins[:-1] | (data == 32) | line
+        start[1:] |= line[:-1] | (_MARK[data[1:]] & _LETTER[data[:-1]])
+        at = np.nonzero(start)[0]
+        owner = np.searchsorted(offsets, at, side="right") - 1
+        size = np.diff(np.append(at, len(data)))
+        plain = ~odd[owner]
+        ids, upto = self.table.gather(self.table.values(data, at[plain], size[plain]))
+        count = np.bincount(owner[plain], weights=np.diff(upto), minlength=n).astype(np.int64)
+        if not odd.any():
+            return ids, np.concatenate([[0], np.cumsum(count)])
+        parts, done = [], 0
+        for i in range(n):
+            if odd[i]:
+                own = self.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+                count[i] = len(own)
+                parts.append(own)
             else:
-                out.append(w)
-        return [c for c in out if c]
+                parts.append(ids[done : done + count[i]])
+                done += count[i]
+        return np.concatenate(parts).astype(np.uint32), np.concatenate([[0], np.cumsum(count)])
+
+    def shown(self, ids: np.ndarray) -> bytes:
+        """Decimal ids with one space between."""
+        return b" ".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -176,10 +230,11 @@ def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 n, ids_sha, text_sha = [], [], []
-                for text in texts(ids_of(part, "text")).to_pylist():
-                    shown, ids = coder.encode(text)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(shown.encode()).hexdigest())
+                flat, begin = coder.encode_batch(ids_of(part, "text"))
+                for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    ids = flat[a:b]
+                    n.append(b - a)
+                    ids_sha.append(hashlib.sha256(coder.shown(ids)).hexdigest())
                     text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids_of(part), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
