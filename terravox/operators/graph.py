@@ -97,12 +97,17 @@ def squared_distance(cells: DataFrame, resolution: Sequence[int]) -> DataFrame:
         # a line has as many cells as the grid is wide
         line = now.groupBy(*others).agg(F.collect_list(F.struct(F.col(a).alias("i"), "d2", "nearest")).alias("line"))
         at = now.select(*cell_of(cells)).join(line, others)
-        reach = F.transform("line", lambda e, a=a: F.struct((e["d2"] + (e["i"] - F.col(a)) * (e["i"] - F.col(a))).alias("d2"), e["i"].alias("i"), e["nearest"].alias("nearest")))
-        best = F.array_min(reach)
+        best = F.array_min(_reach(a))
         now = at.select(*cell_of(cells), F.least(best["d2"], F.lit(far)).alias("d2"), best["nearest"].alias("nearest"))
     return now
 
 
+def _reach(axis: str) -> F.Column:
+    """A line's cells as seen from this cell: squared distance to their sources, index and value."""
+    own = F.col(axis)
+    return F.transform("line", lambda e: F.struct((e["d2"] + (e["i"] - own) * (e["i"] - own)).alias("d2"), e["i"].alias("i"), e["nearest"].alias("nearest")))
+
+
 def signed_distance(cells: DataFrame, resolution: Sequence[int]) -> DataFrame:
     """Distance outside the nonzero cells minus distance inside them."""
     out = squared_distance(cells, resolution).select(*cell_of(cells), F.sqrt("d2").alias("outside"))

@@ -120,8 +120,8 @@ def _convolution(name: str, f, mask, three: bool = False) -> None:
     key = "ix, iy, iz" if three else "ix, iy"
     inside = "ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9" + " AND iz BETWEEN 1 AND 5" * three + f" AND n = {27 if three else 9}"
     view = "cells3" if three else "cells2"
-    sql = f"WITH {_mask_sql(mask, three)} SELECT grid_id, {key}, round(CASE WHEN {inside} THEN v {'ELSE 0.0::DOUBLE ' * three}END, 1) AS value FROM {view} LEFT JOIN s USING ({key})"
-    query(sql, view, name=name)(lambda spark, sf: _r(f((cells3 if three else cells2)(spark, sf)), 1))
+    sql = f"WITH {_mask_sql(mask, three)} SELECT grid_id, {key}, round(CASE WHEN {inside} THEN v {'ELSE 0.0::DOUBLE ' * three}END + 1.23e-5, 3) AS value FROM {view} LEFT JOIN s USING ({key})"
+    query(sql, view, name=name)(lambda spark, sf: _r(G.apply(f((cells3 if three else cells2)(spark, sf)), G.V + 1.23e-5), 3))
 
 
 _BOX = (1.0,) * 9
