@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ids_of, mix, randoms, raw, slices, written
 from .components import components
+from .id_filter import thinned
 from .words import shingles, words
 
 TREES, DEPTH, FIRST, REGION, NEIGHBOURS = 20, 8, 4, 24, 2
@@ -314,7 +315,8 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     pairs = written(pairs, "pairs")
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("node")).distinct()
-    bodies = written(own.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "bodies")
+    ids = written(ids, "ids")
+    bodies = written(thinned(own, "doc_id", ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "bodies")
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(confirmed(some, bodies, k, similarity), "links")
     joined = components(links)
