@@ -135,19 +135,29 @@ def smooth(vertices: DataFrame, faces: DataFrame, weight: float) -> DataFrame:
 
 
 def closest_on_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame, most: float, ident: str = "surfel_id") -> DataFrame:
-    """(id, face_id, distance) of the closest face within `most`: faces are dealt to every cube that their extent, grown by `most`, touches."""
-    c = corners(vertices, faces)
-    lo = {a: F.least(*(F.col(f"{a}{k}") for k in range(3))) - most for a in "xyz"}
-    hi = {a: F.greatest(*(F.col(f"{a}{k}") for k in range(3))) + most for a in "xyz"}
+    """(id, face_id, distance) of the closest face within `most`: faces are dealt to every cube that their extent, grown by `most`, touches.
+
+    The distance is built in steps of their own, so no expression is repeated inside another: normals once a face, then
+    the plane's distance where the foot lies inside the face, and the least distance to the sides elsewhere."""
+    c = corners(vertices, faces).withColumn("n", F.array(*normal()))
     size = 2 * most
     dealt = c
     for a in "xyz":
-        dealt = dealt.withColumn(f"c{a}", F.explode(F.sequence(F.floor(lo[a] / size), F.floor(hi[a] / size))))
+        lo, hi = F.least(*(F.col(f"{a}{k}") for k in range(3))) - most, F.greatest(*(F.col(f"{a}{k}") for k in range(3))) + most
+        dealt = dealt.withColumn(f"c{a}", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
     p = points.select(ident, "x", "y", "z", *(F.floor(F.col(a) / size).alias(f"c{a}") for a in "xyz"))
-    here = V3.of("x", "y", "z")
-    d = G.point_point(here, G.closest_on_triangle(here, at(0), at(1), at(2)))
-    met = p.join(dealt, ["cx", "cy", "cz"]).select(ident, "face_id", d.alias("distance")).where(F.col("distance") <= most)
-    return met.groupBy(ident).agg(F.min_by("face_id", F.struct("distance", "face_id")).alias("face_id"), F.min("distance").alias("distance"))
+    met = p.join(dealt, ["cx", "cy", "cz"])
+    here, n = V3.of("x", "y", "z"), V3(F.col("n")[0], F.col("n")[1], F.col("n")[2])
+    met = met.withColumn("h", here.minus(at(0)).dot(n))
+    sides = ((0, 1), (1, 2), (2, 0))
+    # the foot and the point lie on the same side of a side's plane, as that plane holds the normal
+    met = met.withColumns({f"in{i}": at(j).minus(at(i)).cross(here.minus(at(i))).dot(n) >= 0 for i, j in sides})
+    met = met.withColumns({f"t{i}": G.clamp(F.coalesce(F.try_divide(here.minus(at(i)).dot(at(j).minus(at(i))), at(j).minus(at(i)).squared()), F.lit(0.0)), 0, 1) for i, j in sides})
+    met = met.withColumns({f"d{i}": here.minus(at(i)).minus(at(j).minus(at(i)).times(F.col(f"t{i}"))).norm() for i, j in sides})
+    flat = n.squared() > 0
+    d = F.when(flat & F.col("in0") & F.col("in1") & F.col("in2"), F.abs("h")).otherwise(F.least("d0", "d1", "d2"))
+    near = met.select(ident, "face_id", d.alias("distance")).where(F.col("distance") <= most)
+    return near.groupBy(ident).agg(F.min_by("face_id", F.struct("distance", "face_id")).alias("face_id"), F.min("distance").alias("distance"))
 
 
 def first_hits(rays: DataFrame, vertices: DataFrame, faces: DataFrame, cell: float) -> DataFrame:
@@ -159,8 +169,8 @@ def first_hits(rays: DataFrame, vertices: DataFrame, faces: DataFrame, cell: flo
     for a in "xy":
         ends = [F.floor(f(*(F.col(f"{a}{k}") for k in range(3))) / cell) for f in (F.least, F.greatest)]
         dealt = dealt.withColumn(f"c{a}", F.explode(F.sequence(*ends)))
-    r = rays.select("ray_id", "x", "y", "z0", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
-    t = G.ray_triangle(V3.of("x", "y", "z0"), V3.of(0, 0, -1), at(0), at(1), at(2))
+    r = rays.select("ray_id", "x", "y", F.col("z0").alias("top"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    t = G.ray_triangle(V3.of("x", "y", "top"), V3.of(0, 0, -1), at(0), at(1), at(2))
     met = r.join(dealt, ["cx", "cy"]).select("ray_id", "face_id", t.alias("t")).where("t is not null")
     return met.groupBy("ray_id").agg(F.min_by("face_id", F.struct("t", "face_id")).alias("face_id"), F.min("t").alias("t"))
 
