@@ -56,6 +56,22 @@ class V3(NamedTuple):
         return [c.alias(n) for c, n in zip(self, names or ("x", "y", "z"), strict=True)]
 
 
+class LaterV3:
+    """A V3 whose Columns are made at each use, so that it can stand in a module that is imported without a session."""
+
+    def __init__(self, *c: str | Number) -> None:
+        self._c = c
+
+    def __getattr__(self, name: str):
+        return getattr(V3.of(*self._c), name)
+
+    def __iter__(self):
+        return iter(V3.of(*self._c))
+
+    def __getitem__(self, i: int) -> F.Column:
+        return V3.of(*self._c)[i]
+
+
 class V2(NamedTuple):
     x: F.Column
     y: F.Column

@@ -18,7 +18,7 @@ def asof(queries: DataFrame, lines: DataFrame, key: str, at: str = "timestamp",
     w = Window.partitionBy(key).orderBy(*order)
     back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     both = sent.union(asked).withColumns({"_before": F.last("_line", True).over(back), "_after": F.first("_line", True).over(on)})
-    got = both.where("_side = 1").withColumns({"_b": F.coalesce("_before", "_after"), "_a": F.coalesce("_after", "_before")})
+    got = both.where("_side = 1").withColumns({"_b": F.coalesce("_before", "_after"), "_a": F.when(F.col("_before.t") == F.col("_t"), F.col("_before")).otherwise(F.coalesce("_after", "_before"))})
     named = lambda s, n: [F.col(f"{s}.id").alias(f"{n}_id"), F.col(f"{s}.t").alias(f"{n}_t"), *(F.col(f"{s}.{c}").alias(f"{n}_{c}") for c in carry)]
     return got.select(key, "query_id", F.col("_t").alias(at), *named("_b", "before"), *named("_a", "after"))
 

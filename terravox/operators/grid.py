@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import GRID_ZERO, INFINITY
+from .masks import LAPLACE2, LAPLACE3, SOBEL_X, SOBEL_Y  # noqa: F401
 
 V = F.col("value")
 CELL2, CELL3 = ["grid_id", "ix", "iy"], ["grid_id", "ix", "iy", "iz"]
@@ -179,11 +180,6 @@ def convolve(cells: DataFrame, mask: Sequence[float], resolution: Sequence[int])
     return out.withColumn("value", F.when(inside & (F.col("taps") == 3**d), F.col("sum")).otherwise(outside)).drop("sum", "taps")
 
 
-SOBEL_X = (-0.25, 0, 0.25, -0.5, 0, 0.5, -0.25, 0, 0.25)
-SOBEL_Y = (-0.25, -0.5, -0.25, 0, 0, 0, 0.25, 0.5, 0.25)
-LAPLACE2 = (*(-0.125,) * 4, 1.0, *(-0.125,) * 4)
-LAPLACE3 = (*(-1 / 26,) * 13, 1.0, *(-1 / 26,) * 13)
-
 
 def gradient(cells: DataFrame, axis: str, resolution: Sequence[int]) -> DataFrame:
     if "iz" not in cells.columns:

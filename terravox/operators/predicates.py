@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from ..constants import EPSILON, FLAG_AERIAL, FLAG_BORDER, FLAG_MARKED, FLAG_SHADOW, FLAG_SILHOUETTE
 from ..functions import geometry as G
-from ..functions.vec import V3
+from ..functions.vec import V3, LaterV3
 
-P, N = V3.of("x", "y", "z"), V3.of("nx", "ny", "nz")
-LOW, HIGH = V3.of("xmin", "ymin", "zmin"), V3.of("xmax", "ymax", "zmax")
-ANY = F.lit
+P, N = LaterV3("x", "y", "z"), LaterV3("nx", "ny", "nz")
+LOW, HIGH = LaterV3("xmin", "ymin", "zmin"), LaterV3("xmax", "ymax", "zmax")
 
 
 @dataclass(frozen=True)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import predicates as P
-from ..registry import query
-from . import chains
+from ..registry import Later, query
 from .views import NX, NY, NZ, cells2, cells3, props, surfels
 
+P = Later("operators.predicates")
+chains = Later("plans.chains")
+
 
 @query("SELECT grid_id, ix, iy, round(CASE WHEN value / 1000 - 10 <= 30 THEN 0.0::DOUBLE ELSE sqrt(value / 1000 - 10) END, 6) AS value FROM cells2", "cells2")
 def chain_grid2(spark, sf):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
-from ..registry import query
+from ..registry import Later, query
 from .q_props import _GRAPH, graph
 from .views import NX, NY, NZ, cells2, cells3, table
 
+G = Later("operators.graph")
+
 R2, R3 = (NX, NY), (NX, NY, NZ)
 
 _ON2 = "on2 AS (SELECT ix, iy, CAST(iy AS BIGINT) * 50 + ix AS i FROM cells2 WHERE value > 45000)"

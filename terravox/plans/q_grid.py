@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grid as G
-from ..registry import query
+from ..operators.masks import LAPLACE2, LAPLACE3, SOBEL_X, SOBEL_Y
+from ..registry import Later, query
 from .views import NX, NY, NZ, cells2, cells3, surfels
 
+G = Later("operators.grid")
+
 R2, R3 = (NX, NY), (NX, NY, NZ)
 
 
 def _r(df, digits: int = 4):
-    return df.select(*[c for c in G.CELL3 if c in df.columns], F.round("value", digits).alias("value"))
+    return df.select(*[c for c in ("grid_id", "ix", "iy", "iz") if c in df.columns], F.round("value", digits).alias("value"))
 
 
 def _cell(name: str, f, sql: str, three: bool = False, digits: int = 4, extra: str = "") -> None:
@@ -60,7 +62,7 @@ _pair("grid_overlay", "overlay", "CASE WHEN other IS NOT NULL AND other <> 0 THE
 _pair("grid_min", "min", "least(value, other)", True)
 _pair("grid_max", "max", "greatest(value, other)", True)
 _cell("grid_hash", lambda c: G.quantise(c, 16), """SELECT grid_id, ix, iy, least(15, trunc(16 * (value - lo) / (hi - lo)))::DOUBLE AS value FROM cells2, (SELECT min(value) AS lo, max(value) AS hi FROM cells2)""")
-_cell("grid_normalize", G.normalize, "SELECT grid_id, ix, iy, iz, round(value / norm, 8) AS value FROM cells3, (SELECT sqrt(sum(value * value)) AS norm FROM cells3)", True, 8)
+_cell("grid_normalize", lambda c: G.normalize(c), "SELECT grid_id, ix, iy, iz, round(value / norm, 8) AS value FROM cells3, (SELECT sqrt(sum(value * value)) AS norm FROM cells3)", True, 8)
 _cell("grid_du", lambda c: G.forward_difference(c, "ix"), """SELECT grid_id, ix, iy, round(CASE WHEN value <> 0 AND n <> 0 THEN n - value END, 4) AS value FROM (SELECT *, lead(value) OVER (PARTITION BY iy ORDER BY ix) AS n FROM cells2)""")
 _cell("grid_dv", lambda c: G.forward_difference(c, "iy"), """SELECT grid_id, ix, iy, round(CASE WHEN value <> 0 AND n <> 0 THEN n - value END, 4) AS value FROM (SELECT *, lead(value) OVER (PARTITION BY ix ORDER BY iy) AS n FROM cells2)""")
 _cell("grid_slice", lambda c: c.where("iz = 2").drop("iz"), "SELECT grid_id, ix, iy, round(value, 4) AS value FROM cells3 WHERE iz = 2", True)
@@ -126,20 +128,20 @@ def _convolution(name: str, f, mask, three: bool = False) -> None:
 
 _BOX = (1.0,) * 9
 _convolution("grid_convolve", lambda c: G.convolve(c, _BOX, R2), _BOX)
-_convolution("grid_gradient_x", lambda c: G.gradient(c, "ix", R2), G.SOBEL_X)
-_convolution("grid_gradient_y", lambda c: G.gradient(c, "iy", R2), G.SOBEL_Y)
-_convolution("grid_laplacian2", lambda c: G.convolve(c, G.LAPLACE2, R2), G.LAPLACE2)
-_convolution("grid_laplacian3", lambda c: G.convolve(c, G.LAPLACE3, R3), G.LAPLACE3, True)
+_convolution("grid_gradient_x", lambda c: G.gradient(c, "ix", R2), SOBEL_X)
+_convolution("grid_gradient_y", lambda c: G.gradient(c, "iy", R2), SOBEL_Y)
+_convolution("grid_laplacian2", lambda c: G.convolve(c, LAPLACE2, R2), LAPLACE2)
+_convolution("grid_laplacian3", lambda c: G.convolve(c, LAPLACE3, R3), LAPLACE3, True)
 
-_BOTH = f"""gx AS (WITH {_mask_sql(G.SOBEL_X, False)} SELECT ix, iy, CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END AS x FROM s),
-gy AS (WITH {_mask_sql(G.SOBEL_Y, False)} SELECT ix, iy, CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END AS y FROM s),
+_BOTH = f"""gx AS (WITH {_mask_sql(SOBEL_X, False)} SELECT ix, iy, CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END AS x FROM s),
+gy AS (WITH {_mask_sql(SOBEL_Y, False)} SELECT ix, iy, CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END AS y FROM s),
 g AS (SELECT grid_id, ix, iy, x, y FROM cells2 LEFT JOIN gx USING (ix, iy) LEFT JOIN gy USING (ix, iy))"""
 _cell("grid_gradient_mag", lambda c: G.gradient_magnitude(c, R2), f"WITH {_BOTH} SELECT grid_id, ix, iy, round(sqrt(x * x + y * y), 3) AS value FROM g", digits=3)
 _cell("grid_gradient_angle", lambda c: G.gradient_angle(c, R2), f"WITH {_BOTH} SELECT grid_id, ix, iy, round(CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN x = 0 THEN 1.5707963267948966 ELSE atan(y / x) END, 5) AS value FROM g", digits=5)
 _cell("grid_harris", lambda c: G.apply(G.harris(c, 1, 0.05, R2), G.V / 1e12), f"""WITH {_BOTH}, t AS (SELECT c.ix, c.iy, sum(w * g.x * g.x) AS xx, sum(w * g.x * g.y) AS xy, sum(w * g.y * g.y) AS yy FROM cells2 c,
       (SELECT dx, dy, exp(-(dx * dx + dy * dy) / 0.5::DOUBLE) AS w FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) o JOIN g ON g.ix = c.ix + dx AND g.iy = c.iy + dy WHERE g.x IS NOT NULL AND g.y IS NOT NULL GROUP BY ALL)
       SELECT grid_id, ix, iy, round((xx * yy - xy * xy - 0.05 * (xx + yy) * (xx + yy)) / 1e12, 3) AS value FROM cells2 LEFT JOIN t USING (ix, iy)""", digits=3)
-_cell("grid_hessian", lambda c: G.hessian(c, "ix", "ix", R2), f"""WITH {_BOTH}, m2(dx, dy, w) AS (VALUES {", ".join(f"({i % 3 - 1}, {i // 3 - 1}, {float(m)!r}::DOUBLE)" for i, m in enumerate(G.SOBEL_X))}),
+_cell("grid_hessian", lambda c: G.hessian(c, "ix", "ix", R2), f"""WITH {_BOTH}, m2(dx, dy, w) AS (VALUES {", ".join(f"({i % 3 - 1}, {i // 3 - 1}, {float(m)!r}::DOUBLE)" for i, m in enumerate(SOBEL_X))}),
       h AS (SELECT c.ix, c.iy, sum(w * t.x) AS v, count(t.x) AS n FROM g c, m2 JOIN g t ON t.ix = c.ix + dx AND t.iy = c.iy + dy GROUP BY ALL)
       SELECT grid_id, ix, iy, round(CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END, 3) AS value FROM cells2 LEFT JOIN h USING (ix, iy)""", digits=3)
 
@@ -183,19 +185,21 @@ _cell("grid_fill_gaps", lambda c: G.fill_gaps(c, "ix", 3), """SELECT grid_id, ix
 _SPLAT = """k AS (SELECT surfel_id, CAST(floor(gx) AS INTEGER) + dx AS ix, CAST(floor(gy) AS INTEGER) + dy AS iy, CAST(floor(gz) AS INTEGER) + dz AS iz,
       (CASE dx WHEN 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END) * (CASE dy WHEN 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END) * (CASE dz WHEN 1 THEN gz - floor(gz) ELSE 1 - (gz - floor(gz)) END) AS w
       FROM (SELECT surfel_id, (x + 0.4) * 10 AS gx, (y + 0.4) * 10 AS gy, (z + 0.4) * 5 AS gz FROM surfels), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy), (VALUES (0), (1)) c(dz) WHERE gx BETWEEN 0 AND 8 AND gy BETWEEN 0 AND 8 AND gz BETWEEN 0 AND 4)"""
-_AT = ((F.col("x") + 0.4) * 10, (F.col("y") + 0.4) * 10, (F.col("z") + 0.4) * 5)
+def _at():
+    return (F.col("x") + 0.4) * 10, (F.col("y") + 0.4) * 10, (F.col("z") + 0.4) * 5
+
 
 
 @query(f"WITH {_SPLAT} SELECT ix, iy, iz, round(sum(w), 6) AS value FROM k WHERE w <> 0 GROUP BY ALL", "surfels")
 def splat_point3(spark, sf):
-    return G.splat(surfels(spark, sf), _AT, F.lit(1.0), (9, 9, 5)).withColumn("value", F.round("value", 6))
+    return G.splat(surfels(spark, sf), _at(), F.lit(1.0), (9, 9, 5)).withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT ix, iy, round(sum(w * m), 6) AS value FROM (SELECT CAST(floor(gx) AS INTEGER) + dx AS ix, CAST(floor(gy) AS INTEGER) + dy AS iy, m,
       (CASE dx WHEN 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END) * (CASE dy WHEN 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END) AS w
       FROM (SELECT (x + 0.4) * 10 AS gx, (y + 0.4) * 10 AS gy, abs(z) AS m FROM surfels), (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy) WHERE gx BETWEEN 0 AND 8 AND gy BETWEEN 0 AND 8) WHERE w * m <> 0 GROUP BY ALL""", "surfels")
 def splat_point2(spark, sf):
-    return G.splat(surfels(spark, sf), _AT[:2], F.abs("z"), (9, 9)).withColumn("value", F.round("value", 6))
+    return G.splat(surfels(spark, sf), _at()[:2], F.abs("z"), (9, 9)).withColumn("value", F.round("value", 6))
 
 
 @query("""WITH k AS (SELECT CAST(floor((x + 0.4) * 10) AS INTEGER) AS ix, CAST(floor((y + 0.4) * 10) AS INTEGER) AS iy, count(*) AS n, round(avg(z), 6) AS mean_z FROM surfels

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import labels as L
-from ..operators import tree as T
-from ..registry import query
+from ..registry import Later, query
 from .views import assignments, surfels, table, tree
 
+L = Later("operators.labels")
+T = Later("operators.tree")
+
 _CURRENT = "cur AS (SELECT object_id, label, confidence, originator FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY originator, confidence DESC, place) AS r FROM assignments WHERE originator <= 1) WHERE r = 1)"
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align as A
-from ..operators import cluster as C
-from ..operators import mesh as M
-from ..operators import render as R
-from ..operators import sample as S
-from ..operators import spatial_join as J
-from ..registry import query
+from ..registry import Later, query
 from .views import cells2, cells3, surfels
 
+A = Later("operators.align")
+C = Later("operators.cluster")
+M = Later("operators.mesh")
+R = Later("operators.render")
+S = Later("operators.sample")
+J = Later("operators.spatial_join")
+
 
 def _mesh(spark, sf):
     """The raster as a surface, heights in tens of thousands."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import props as P
-from ..registry import query
+from ..registry import Later, query
 from .views import props, table
 
+P = Later("operators.props")
+
 
 def graph(spark, sf):
     """Edges between parts that an order has in common lines: consecutive line numbers, both directions, one row a pair."""

@@ -6,10 +6,11 @@ from math import cos, pi
 
 from pyspark.sql import functions as F
 
-from ..operators import predicates as P
-from ..registry import query
+from ..registry import Later, query
 from .views import assignments, cells2, surfels
 
+P = Later("operators.predicates")
+
 _IDS = "SELECT surfel_id FROM surfels WHERE "
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sets as S
-from ..operators import spatial_join as J
-from ..registry import query
+from ..registry import Later, query
 from .views import surfels, table
 
+S = Later("operators.sets")
+J = Later("operators.spatial_join")
+
 _D2 = "(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)"
 
 
@@ -115,8 +116,8 @@ def _two(spark, sf):
     return s.where("x > 0"), s.where("y > 0")
 
 
-for _name, _f, _test in (("set_union", S.union, "x > 0 OR y > 0"), ("set_intersect", S.intersect, "x > 0 AND y > 0"), ("set_subtract", S.subtract, "x > 0 AND NOT y > 0")):
-    query(f"SELECT surfel_id FROM surfels WHERE {_test}", "surfels", name=_name)(lambda spark, sf, f=_f: f(*_two(spark, sf)).select("surfel_id"))
+for _name, _f, _test in (("set_union", "union", "x > 0 OR y > 0"), ("set_intersect", "intersect", "x > 0 AND y > 0"), ("set_subtract", "subtract", "x > 0 AND NOT y > 0")):
+    query(f"SELECT surfel_id FROM surfels WHERE {_test}", "surfels", name=_name)(lambda spark, sf, f=_f: getattr(S, f)(*_two(spark, sf)).select("surfel_id"))
 for _name, _column in (("distinct_blocks", "block_id"), ("distinct_objects", "object_id")):
     query(f"SELECT DISTINCT {_column} FROM surfels", "surfels", name=_name)(lambda spark, sf, c=_column: S.distinct(surfels(spark, sf), c))
 

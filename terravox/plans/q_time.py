@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof as A
-from ..registry import query
+from ..registry import Later, query
 from .views import scanlines
 
+A = Later("operators.asof")
+
 _SPLIT = """s AS (SELECT * FROM scanlines WHERE kind <> 'click'), q AS (SELECT survey_id, scanline_id AS query_id, timestamp AS t FROM scanlines WHERE kind = 'click' AND survey_id IN (SELECT survey_id FROM s)),
  m AS (SELECT q.*, max(s.timestamp) FILTER (s.timestamp <= q.t) AS bt, min(s.timestamp) FILTER (s.timestamp >= q.t) AS at_, min(s.timestamp) AS lo, max(s.timestamp) AS hi FROM q JOIN s USING (survey_id) GROUP BY ALL)"""
 
