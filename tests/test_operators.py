@@ -215,3 +215,39 @@ def test_chains_reject_what_they_dont_know():
         chains.GRID2.parse(["-nothing"])
     with pytest.raises(ValueError):
         chains.GRID3.parse(["-threshold", "1"])
+
+
+def test_contours_and_surfaces_close(spark):
+    from terravox.operators import depth
+
+    rows = [(1, x, y, z, math.dist((x, y, z), (3.1, 2.9, 3.2))) for x in range(7) for y in range(7) for z in range(7)]
+    cells = spark.createDataFrame(rows, "grid_id int, ix int, iy int, iz int, value double")
+    found = depth.isosurface(cells, 2.2).collect()
+    area = 0.0
+    for r in found:
+        p = np.array(r.corners)
+        assert len(p) in (3, 4) and np.abs(np.linalg.norm(p - [3.1, 2.9, 3.2], axis=1) - 2.2).max() < 0.2
+        area += sum(np.linalg.norm(np.cross(p[i] - p[0], p[i + 1] - p[0])) / 2 for i in range(1, len(p) - 1))
+    assert area == pytest.approx(4 * math.pi * 2.2**2, rel=0.06)
+    flat = cells.where("iz = 3").drop("iz")
+    length = sum(math.dist((r.x0, r.y0), (r.x1, r.y1)) for r in depth.contours(flat, 2.2).collect())
+    assert length == pytest.approx(2 * math.pi * math.sqrt(2.2**2 - 0.2**2), rel=0.05)
+
+
+def test_hulls_and_slerp(spark):
+    from terravox.functions import camera
+    from terravox.operators import features
+
+    rng = np.random.default_rng(9)
+    p = [(1, float(a), float(b)) for a, b in rng.random((200, 2))] + [(1, 0.0, 0.0), (1, 1.0, 0.0), (1, 1.0, 1.0), (1, 0.0, 1.0), (1, 0.5, 0.0), (2, 3.0, 3.0), (2, None, 1.0)]
+    out = features.convex_hulls(spark.createDataFrame(p, "k long, x double, y double"), "k").collect()
+    assert sorted((r.x, r.y) for r in out if r.k == 1) == [(0, 0), (0, 1), (1, 0), (1, 1)] and len([r for r in out if r.k == 2]) == 1
+    q = camera.slerp(tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)), tuple(F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)), F.lit(0.5))
+    assert list(spark.range(1).select(*q).first()) == pytest.approx([math.sqrt(0.5), 0, 0, math.sqrt(0.5)])
+
+
+def test_greedy_maxima_keep_their_distance(spark):
+    from terravox.operators import depth
+
+    cells = spark.createDataFrame([(1, x, y, float(10 * x + y)) for x in range(6) for y in range(6)], "grid_id int, ix int, iy int, value double")
+    assert [(r.ix, r.iy) for r in depth.greedy_maxima(cells, 3, 3.0).orderBy(F.desc("value")).collect()] == [(5, 5), (5, 2), (2, 5)]
