@@ -32,7 +32,7 @@ class Node:
 class PatriciaTrie:
     """Byte strings with an owner each. largest: which identifier of equal strings owns them; a null identifier owns only if there is no other."""
 
-    def __init__(self, largest: bool = True, budget: int = 48 << 20) -> None:
+    def __init__(self, largest: bool = True, budget: int = 24 << 20) -> None:
         self.root, self.largest, self.budget, self.held = Node(b""), largest, budget, 0
 
     def better(self, a: int | None, b: int | None) -> int | None:

@@ -185,7 +185,7 @@ class Ids:
     Other chunks go to the library as they are.
     """
 
-    def __init__(self, path: str, memo: int = 300_000) -> None:
+    def __init__(self, path: str, memo: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -198,7 +198,7 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.table = WordTable(self.learn)
+        self.table = WordTable(self.learn, 500_000)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
