@@ -318,14 +318,13 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     ids = written(ids, "ids")
     bodies = written(thinned(own, "doc_id", ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "bodies")
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(confirmed(some, bodies, k, similarity), "links")
-    joined = components(links)
+    joined = components(confirmed(some, bodies, k, similarity))
     left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(some, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = written(links.union(confirmed(rest, bodies, k, similarity)), "links")
-    joined = components(links)
-    whole = components(links.union(written(across(crowded, joined, bodies, k, similarity), "across")))
+    # what is joined already goes on as stars, so the next components start near their end
+    joined = components(joined.union(confirmed(rest, bodies, k, similarity)))
+    whole = components(joined.union(across(crowded, joined, bodies, k, similarity)))
 
     found = groups.join(whole, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", *key).join(found, key, "left")
