@@ -1,7 +1,7 @@
 """File formats as pure functions between bytes and pandas frames.
 
 Points: xyz, xyzn (text), pts, sdf, pset (float32 tuples), vts (indexed text). Grids: grd (2D and 3D), vox, raw, pfm,
-pnm, grdascii, dx. Meshes: off, obj, ply (ascii and binary), stl. Properties: arff. Molecules: pdb.
+pnm, png16, grdascii, dx. Meshes: off, obj, ply (ascii and binary), stl, ifs. Properties: arff, npy, prp. Molecules: pdb.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -348,6 +349,117 @@ def write_pdb(df: pd.DataFrame) -> bytes:
     return ("\n".join([*(line(r) for r in df.rename(columns={"name": "name_"}).itertuples(index=False)), "END"]) + "\n").encode()
 
 
+def read_npy(data: bytes) -> pd.DataFrame:
+    """A matrix of vertices by properties, in long form; columns are named p0, p1, ..."""
+    m = np.load(io.BytesIO(data), allow_pickle=False)
+    m = m.reshape(len(m), -1).astype(np.float64)
+    return pd.DataFrame({"vertex_id": np.tile(np.arange(len(m)), m.shape[1]), "name": np.repeat([f"p{i}" for i in range(m.shape[1])], len(m)), "value": m.T.reshape(-1)})
+
+
+def write_npy(df: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    wide = df.pivot(index="vertex_id", columns="name", values="value")
+    np.save(out, wide.to_numpy(np.float64), allow_pickle=False)
+    return out.getvalue()
+
+
+#: Bytes of a property's name in a binary property file.
+PROPERTY_NAME = 128
+
+
+def read_prp(data: bytes) -> pd.DataFrame:
+    """int32 counts, fixed-width names, float32 values by vertex; -1 is unknown."""
+    vertices, many = struct.unpack_from("<2i", data)
+    names = [data[8 + i * PROPERTY_NAME :][:PROPERTY_NAME].split(b"\0")[0].decode() for i in range(many)]
+    v = np.frombuffer(data, "<f4", vertices * many, 8 + many * PROPERTY_NAME).reshape(vertices, many).astype(np.float64)
+    return pd.DataFrame({"vertex_id": np.tile(np.arange(vertices), many), "name": np.repeat(names, vertices), "value": np.where(v == -1, np.nan, v).T.reshape(-1)})
+
+
+def write_prp(df: pd.DataFrame) -> bytes:
+    wide = df.pivot(index="vertex_id", columns="name", values="value")
+    names = b"".join(c.encode()[: PROPERTY_NAME - 1].ljust(PROPERTY_NAME, b"\0") for c in wide.columns)
+    return struct.pack("<2i", *wide.shape) + names + wide.fillna(-1).to_numpy("<f4").tobytes()
+
+
+def read_ifs(data: bytes) -> pd.DataFrame:
+    """Length-prefixed strings, float32 vertices, int32 triangles; triangles with a repeated corner are left out."""
+    at = 0
+
+    def text() -> bytes:
+        nonlocal at
+        (n,) = struct.unpack_from("<I", data, at)
+        at += 4 + n
+        return data[at - n : at].rstrip(b"\0")
+
+    def rows(kind: str) -> np.ndarray:
+        nonlocal at
+        (n,) = struct.unpack_from("<I", data, at)
+        out = np.frombuffer(data, kind, 3 * n, at + 4).reshape(n, 3)
+        at += 4 + 12 * n
+        return out
+
+    if text() != b"IFS" or struct.unpack_from("<f", data, at)[0] != 1.0:
+        raise ValueError("not an indexed face set")
+    at += 4
+    text()
+    if text() != b"VERTICES":
+        raise ValueError("no vertices")
+    v = rows("<f4")
+    if text() != b"TRIANGLES":
+        raise ValueError("no triangles")
+    return mesh_frame(v, [t for t in rows("<i4").tolist() if len(set(t)) == 3])
+
+
+def write_ifs(df: pd.DataFrame) -> bytes:
+    v, f = mesh_arrays(df)
+    text = lambda s: struct.pack("<I", len(s) + 1) + s + b"\0"
+    return text(b"IFS") + struct.pack("<f", 1.0) + text(b"mesh") + text(b"VERTICES") + struct.pack("<I", len(v)) + v.astype("<f4").tobytes() + text(b"TRIANGLES") + struct.pack("<I", len(f)) + f.astype("<i4").tobytes()
+
+
+def read_png16(data: bytes) -> pd.DataFrame:
+    """A grey PNG of 8 or 16 bits as a raster; the file's first row is the top one. Depth images divide by their scale afterwards."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, body, head = 8, [], b""
+    while at < len(data):
+        (n,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        part = data[at + 8 : at + 8 + n]
+        head, body = (part, body) if kind == b"IHDR" else (head, body + [part] if kind == b"IDAT" else body)
+        at += 12 + n
+    w, h, bits, color, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    if color != 0 or bits not in (8, 16) or interlaced:
+        raise ValueError("only plain grey images of 8 or 16 bits are read")
+    size = bits // 8
+    raw, line = zlib.decompress(b"".join(body)), w * size
+    rows, before = np.zeros((h, line), np.uint8), np.zeros(line, np.int32)
+    for y in range(h):
+        kind, now = raw[y * (line + 1)], np.frombuffer(raw, np.uint8, line, y * (line + 1) + 1).astype(np.int32)
+        if kind == 2:
+            now = now + before
+        elif kind in (1, 3, 4):
+            for x in range(line):
+                a, b, c = (now[x - size], before[x], before[x - size]) if x >= size else (0, before[x], 0)
+                if kind == 1:
+                    guess = a
+                elif kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    p = a + b - c
+                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                now[x] = (now[x] + guess) & 255
+        before = now & 255
+        rows[y] = before
+    return _cells((rows if size == 1 else rows.view(">u2")).astype(np.float64).reshape(h, w)[::-1])
+
+
+def write_png16(df: pd.DataFrame) -> bytes:
+    v = np.clip(np.rint(_dense(df)), 0, 65535).astype(">u2")[::-1]
+    h, w = v.shape
+    chunk = lambda kind, part: struct.pack(">I", len(part)) + kind + part + struct.pack(">I", zlib.crc32(kind + part))
+    lines = b"".join(b"\0" + r.tobytes() for r in v)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 _POINTS, _NORMALS = "x double, y double, z double", ", nx double, ny double, nz double"
 _GRID2, _GRID3 = "ix int, iy int, value double", "ix int, iy int, iz int, value double"
 _MESH = "part string, id long, x double, y double, z double, a double, b double, c double"
@@ -369,5 +481,6 @@ FORMATS: dict[str, tuple[str, Callable[[bytes], pd.DataFrame], Callable[[pd.Data
     "grd": (_GRID3, read_grd3, write_grd3), "grd2": (_GRID2, read_grd2, write_grd2), "vox": (_GRID3, read_vox, write_vox), "raw": (_GRID2, read_raw, write_raw), "pfm": (_GRID2, read_pfm, write_pfm),
     "pnm": (_GRID2, read_pnm, write_pnm), "grdascii": (_GRID3, read_grdascii, write_grdascii), "dx": (_GRID3, read_dx, write_dx),
     "off": (_MESH, read_off, write_off), "obj": (_MESH, read_obj, write_obj), "ply": (_MESH, read_ply, write_ply), "stl": (_MESH, read_stl, write_stl),
+    "ifs": (_MESH, read_ifs, write_ifs), "png16": (_GRID2, read_png16, write_png16), "npy": ("vertex_id long, name string, value double", read_npy, write_npy), "prp": ("vertex_id long, name string, value double", read_prp, write_prp),
     "arff": ("vertex_id long, name string, value double", read_arff, write_arff), "pdb": (_ATOMS, read_pdb, write_pdb),
 }

@@ -23,8 +23,8 @@ def test_round_trip(kind):
         rows = CELLS3 if "iz" in names else CELLS2
     elif "part" in names:
         rows = read_off(OFF)
-    elif kind == "arff":
-        rows = pd.DataFrame({"vertex_id": [0, 1, 0, 1], "name": ["a", "a", "b", "b"], "value": [1.5, np.nan, 2.0, 3.0]})
+    elif kind in ("arff", "npy", "prp"):
+        rows = pd.DataFrame({"vertex_id": [0, 1, 0, 1], "name": ["p0", "p0", "p1", "p1"], "value": [1.5, np.nan, 2.0, 3.0]})
     elif kind == "pdb":
         rows = pd.DataFrame([(1, "CA", "", "GLY", "A", 5, 1, 1.5, -2.25, 3.125, 1.0, 20.5, False)], columns=names)
     else:
@@ -66,3 +66,40 @@ def test_spark_reads_what_it_wrote(spark, tmp_path):
 
     spark.dataSource.register(FormatSource)
     assert spark.read.format("terravox").option("kind", "grd").option("path", str(tmp_path / "grids")).load().count() == 16
+
+
+def test_png_filters():
+    import zlib
+
+    v = np.array([[10, 20, 30], [12, 25, 250], [13, 5, 7], [1, 2, 3]], np.uint8)
+    up = lambda y: (v[y].astype(int) - v[y - 1]) & 255
+    sub = [int(v[1][0]), *((int(v[1][x]) - int(v[1][x - 1])) & 255 for x in (1, 2))]
+    mean = [(int(v[3][x]) - (((int(v[3][x - 1]) if x else 0) + int(v[2][x])) // 2)) & 255 for x in range(3)]
+    lines = bytes([0, *v[0]]) + bytes([1, *sub]) + bytes([2, *up(2)]) + bytes([3, *mean])
+    chunk = lambda kind, part: struct.pack(">I", len(part)) + kind + part + b"crc."
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 4, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    out = FORMATS["png16"][1](data)
+    assert out.value.tolist() == v[::-1].reshape(-1).astype(float).tolist()
+
+
+def test_catalogs(spark, tmp_path):
+    from terravox.sources import catalogs
+
+    text = ["ASCII 1.1", "L 0 3 ground 0 0 0 -1 -1 -1 1 1 1 0 0 0 0 0", "R 0 0 0 0 k 1 2 3 0 0 0 2 4 6 2.5 0 0 0 0", "P 0 0 1 door 0 0 0 1 1 1 0 0 0 0", "P pano 0 0 0 7 8 9 0 0 0 0 0", "C 0 5 chair 3 seat 0 0 0 0 0"]
+    (tmp_path / "a.house").write_text("\n".join(text))
+    t = catalogs.house(spark, f"file://{tmp_path}/a.house")
+    r = t["regions"].first()
+    assert (r.label, r.z, r.ymax, r.height) == ("k", 3, 4, 2.5) and t["portals"].first().x1 == 1 and t["panoramas"].first()["name"] == "pano" and t["categories"].first().mpcat40_name == "seat"
+    catalogs.house_lines(t).write.text(f"file://{tmp_path}/again")
+    again = catalogs.house(spark, f"file://{tmp_path}/again")
+    assert all(again[n].drop("file").collect() == t[n].drop("file").collect() for n in t)
+    (tmp_path / "s.json").write_text('{"segIndices": [4, 4, 9]}')
+    (tmp_path / "g.json").write_text('{"segGroups": [{"id": 1, "label": "chair", "segments": [4, 9]}]}')
+    (tmp_path / "n.json").write_text('{"camera_angle_x": 0.5, "frames": [{"file_path": "a.png", "transform_matrix": [[1,0,0,0],[0,1,0,0],[0,0,1,2],[0,0,0,1]]}]}')
+    (tmp_path / "c.conf").write_text("dataset x\nintrinsics 500 500 320 240\nscan d.png c.png 1 0 0 0 0 1 0 0 0 0 1 0 0 0 0 1\n")
+    f = lambda n: f"file://{tmp_path}/{n}"
+    assert [tuple(x)[1:] for x in catalogs.segments(spark, f("s.json")).collect()] == [(0, 4), (1, 4), (2, 9)]
+    assert [tuple(x)[1:] for x in catalogs.segment_groups(spark, f("g.json")).collect()] == [(1, "chair", 4), (1, "chair", 9)]
+    assert catalogs.nerf_frames(spark, f("n.json")).first().pose[11] == 2
+    intrinsics, scans = catalogs.configuration(spark, f("c.conf"))
+    assert intrinsics.first().numbers == [500, 500, 320, 240] and len(scans.first().pose) == 16
