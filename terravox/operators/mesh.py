@@ -39,8 +39,9 @@ def measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     c = corners(vertices, faces).withColumns({"area": area(), **{f"c{a}": sum((F.col(f"{a}{k}") for k in range(3)), F.lit(0.0)) / 3 for a in "xyz"}})
     whole = c.agg(F.sum("area").alias("total"), *((F.sum(F.col("area") * F.col(f"c{a}")) / F.sum("area")).alias(f"m{a}") for a in "xyz"))
     d = F.sqrt(sum(((F.col(f"c{a}") - F.col(f"m{a}")) * (F.col(f"c{a}") - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)))
-    out = c.crossJoin(F.broadcast(whole)).groupBy("total", "mx", "my", "mz").agg((F.sum(F.col("area") * d) / F.sum("area")).alias("radius"))
-    return out.select(F.col("total").alias("area"), F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz"), "radius")
+    out = c.crossJoin(F.broadcast(whole)).agg((F.sum(F.col("area") * d) / F.sum("area")).alias("radius"))
+    # each side is one row, of nulls for a mesh without faces
+    return whole.select(F.col("total").alias("area"), F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz")).crossJoin(F.broadcast(out))
 
 
 def edges(faces: DataFrame) -> DataFrame:
