@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HUMAN, MACHINE
+from .spatial_join import k_nearest
 
 
 def best_label(assignments: DataFrame, key: tuple[str, ...] = ("object_id", "originator")) -> DataFrame:
@@ -31,20 +32,20 @@ def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return t.join(predicted.select("object_id", F.col("label").alias("predicted")), "object_id", "left").groupBy("predicted", "truth").agg(F.count("*").alias("objects"))
 
 
-def classify_nearest(objects: DataFrame, features: tuple[str, ...], label: str = "label", most: int = 1_000_000) -> DataFrame:
-    """Labels of unlabelled objects by their nearest labelled one; confidence 1 - 2 d1 / (d1 + d2) with d2 the next other label's.
-
-    objects: object_id, features, label (null: unlabelled). The training side is first cut to one row for each label
-    and feature vector; it is broadcast while it stays under `most` values, and joined by shuffle beyond."""
-    train = objects.where(F.col(label).isNotNull()).select(*(F.col(f).alias(f"t{f}") for f in features), F.col(label).alias("found")).distinct()
-    few = train.count() * (len(features) + 1) <= most
-    d2 = sum(((F.col(f) - F.col(f"t{f}")) * (F.col(f) - F.col(f"t{f}")) for f in features), F.lit(0.0))
-    met = objects.where(F.col(label).isNull()).join(F.broadcast(train) if few else train, F.lit(True))
-    per_label = met.groupBy("object_id", "found").agg(F.min(d2).alias("d"))
-    w = Window.partitionBy("object_id").orderBy("d", "found")
-    top = per_label.withColumns({"rank": F.row_number().over(w), "next": F.lead("d").over(w)}).where("rank = 1")
-    sure = F.coalesce(1 - F.try_divide(2 * F.col("d"), F.col("d") + F.col("next")), F.lit(1.0))
-    return top.select("object_id", F.col("found").alias("label"), sure.alias("confidence"))
+def classify_nearest(objects: DataFrame, features: tuple[str, ...], label: str = "label") -> DataFrame:
+    """Labels of unlabelled objects by their nearest labelled one; confidence 1 - 2 d1 / (d1 + d2) of squared distances, d2 to the nearest of another label.
+
+    objects: object_id, features (two or three), label (null: unlabelled). Two bucketed nearest-neighbour joins, the
+    second with the label found as a condition; no pair outside neighbouring cells is formed."""
+    rows = objects.select("object_id", *features, F.col(label).alias("label"))
+    train, asked = rows.where("label is not null"), rows.where("label is null").withColumn("label", F.lit(""))
+    first = k_nearest(asked, train, 1, "object_id", carry=("label",), axes=features).select(F.col("query_id").alias("object_id"), F.col("plabel").alias("label"), F.col("distance").alias("d1"))
+    again = asked.drop("label").join(first.select("object_id", "label"), "object_id")
+    other = F.col("qlabel") != F.col("plabel")
+    second = k_nearest(again, train, 1, "object_id", carry=("label",), residual=other, axes=features).select(F.col("query_id").alias("object_id"), F.col("distance").alias("d2"))
+    near, far = F.col("d1") * F.col("d1"), F.col("d2") * F.col("d2")
+    sure = F.coalesce(1 - F.try_divide(2 * near, near + far), F.lit(1.0))
+    return first.join(second, "object_id", "left").select("object_id", "label", sure.alias("confidence"))
 
 
 def regroup(points: DataFrame, instances: DataFrame) -> DataFrame:
