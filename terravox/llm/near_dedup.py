@@ -12,8 +12,9 @@
 4. What remains is confirmed on full sets computed again from the texts: first one pair for each node, then only
    pairs that the components so far don't already join. Components come from alternating stars.
 5. Crowded regions are gone through once more, now with the components known: in each, every node outside the
-   region's largest component meets all nodes of other components there on full sets, in chunks, so a text at the edge of a large group isn't lost to the few neighbours of step 2. A region with more than OUTSIDE such nodes
-   is cut by all DEPTH values first.
+   region's largest component meets all nodes of other components there on full sets, in chunks, so a text at the edge of a large group isn't lost to the few neighbours of step 2. The nodes of
+   all regions with more than OUTSIDE such nodes are joined by rare shingles instead: two sets that are linked share
+   a shingle among the rarest of each (prefix filter), so that loses no link either.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_of, mix, randoms, raw, slices, written
@@ -34,9 +35,9 @@ from .words import shingles, words
 TREES, DEPTH, FIRST, REGION, NEIGHBOURS = 20, 8, 4, 24, 2
 #: Rows of a range partition of the forest.
 ROWS = 150_000
-#: Nodes outside the largest component of a crowded region that meet the whole region.
+#: Nodes outside the largest component of a crowded region that meet the whole region; beyond that the region goes through the prefix filter.
 OUTSIDE = 4_096
-#: Texts of a chunk that they meet at a time.
+#: Texts of a chunk that they meet at a time, and nodes with a rare shingle in common that are paired one by one.
 CHUNK = 256
 #: Sketch bits that may differ: 128 bits, of which a share (1 - similarity) / 2 differs on average.
 SKETCH = 128
@@ -235,31 +236,80 @@ class Chunk:
         return self.node[hit[np.unique(self.own[hit], return_index=True)[1]]].tolist()
 
 
+def _tiles(rows: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+    """Rows for _met(): all nodes of a region dealt into chunks, and each node outside its largest component once for every chunk."""
+    inside = rows.join(regions, key).withColumn("chunks", F.ceil(F.col("rows") / CHUNK))
+    columns = lambda part, side: ["tree", "key1", "key2", part.alias("part"), F.lit(side).alias("side"), "node", "own"]
+    dealt = inside.select(*columns(F.pmod(F.xxhash64("node"), "chunks"), 0))
+    return dealt.union(inside.where("own <> largest").select(*columns(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")), 1)))
+
+
+def _sized(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Regions with more than one component: their rows, largest component and nodes outside it."""
+    sizes = rows.groupBy(*key, "own").agg(F.count("*").alias("n"))
+    return sizes.groupBy(*key).agg(F.max_by("own", F.struct("n", "own")).alias("largest"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+
+
+def _exploded(k: int):
+    """Each node's shingles, one a row, with the size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingles(*words(*raw(ids_of(part, "text"))), k)
+                n = np.array([len(s) for s in sets], np.int64)
+                repeated = [pa.array(np.repeat(c, n)) for c in (ids_of(part, "node").to_numpy(), ids_of(part, "own").to_numpy(), n)]
+                yield pa.RecordBatch.from_arrays([*repeated, pa.array(np.concatenate(sets).view(np.int64))], ["node", "own", "size", "shingle"])
+
+    return run
+
+
+def by_rare_shingles(hot: DataFrame, bodies: DataFrame, k: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) and tiles that hold every link between different components of hot(node, own).
+
+    With shingles in one order, rarest first, a set x shares at least ceil(s |x|) of its shingles with any set linked to
+    it, so the first |x| - ceil(s |x|) + 1 of both have one in common. Nodes with a common first shingle are paired;
+    where they are more than CHUNK they become a region of tiles instead, once for each distinct set of nodes."""
+    each = hot.join(bodies, "node").mapInArrow(_exploded(k), "node long, own long, size long, shingle long")
+    each = written(each, "hot-shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    needed = -F.floor(-F.col("size") * similarity / 100)  # ceil
+    first = each.join(often, "shingle").withColumn("rank", rank).where((F.col("rank") <= F.col("size") - needed + 1) & (F.col("often") > 1))
+    first = written(first.select("shingle", "node", "own", "size"), "hot-prefixes")
+    sized = written(_sized(first, ["shingle"]), "hot-regions")
+    few = first.join(sized.where(F.col("rows") <= CHUNK), "shingle").select("shingle", "node", "own", "size")
+    left, right = (few.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "own", "size"))) for x in "ab")
+    alike = (F.col("size_a") * 100 >= similarity * F.col("size_b")) & (F.col("size_b") * 100 >= similarity * F.col("size_a"))
+    pairs = left.join(right, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("own_a") != F.col("own_b")) & alike)
+    many = first.join(sized.where(F.col("rows") > CHUNK), "shingle")
+    # regions of the same nodes count once: equal sizes and equal sums of two hashes
+    same = many.groupBy("shingle").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(38,0)")).alias(f"sum{i}") for i in (1, 2)))
+    once = same.groupBy("n", "sum1", "sum2").agg(F.min("shingle").alias("shingle")).select("shingle")
+    keyed = lambda df: df.withColumns({"tree": F.lit(-1), "key1": F.col("shingle"), "key2": F.lit(0).cast("long")})
+    tiles = _tiles(keyed(first), sized.where(F.col("rows") > CHUNK).join(once, "shingle", "left_semi"), ["shingle"])
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), tiles
+
+
 def across(crowded: DataFrame, component: DataFrame, bodies: DataFrame, k: int, similarity: int) -> DataFrame:
     """Links (a, b) between different components in crowded regions. component: (node, component), not for every node.
 
     A region's nodes are dealt into chunks; each node outside its largest component meets every chunk, and the chunk's
-    inverted index gives all its intersections at once. Only one link for each node, chunk and component comes out."""
-    rows = crowded.join(component, "node", "left").select("tree", "key1", "key2", "node", F.coalesce("component", "node").alias("own"))
+    inverted index gives all its intersections at once. Only one link for each node, chunk and component comes out.
+    Regions with more than OUTSIDE such nodes go through by_rare_shingles() together."""
+    rows = crowded.join(component, "node", "left").select("tree", "key1", F.lit(0).cast("long").alias("key2"), "node", F.coalesce("component", "node").alias("own"))
     rows = written(rows, "crowded")
-
-    def sized(key: list[str]) -> DataFrame:
-        sizes = rows.groupBy(*key, "own").agg(F.count("*").alias("n"))
-        return sizes.groupBy(*key).agg(F.max_by("own", F.struct("n", "own")).alias("largest"), F.sum("n").alias("rows"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-
-    def tiles(found: DataFrame, regions: DataFrame, key: list[str], key2: F.Column) -> DataFrame:
-        inside = found.join(regions, key).withColumn("chunks", F.ceil(F.col("rows") / CHUNK))
-        columns = lambda part, side: ["tree", "key1", key2.alias("key2"), part.alias("part"), F.lit(side).alias("side"), "node", "own"]
-        dealt = inside.select(*columns(F.pmod(F.xxhash64("node"), "chunks"), 0))
-        return dealt.union(inside.where("own <> largest").select(*columns(F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<long>")), 1)))
-
-    wide, deep = sized(["tree", "key1"]), sized(["tree", "key1", "key2"])
-    over = wide.where(F.col("outside") > OUTSIDE).select("tree", "key1")
-    some = tiles(rows, wide.where(F.col("outside") <= OUTSIDE), ["tree", "key1"], F.lit(0).cast("long"))
-    more = tiles(rows, deep.join(over, ["tree", "key1"], "left_semi"), ["tree", "key1", "key2"], F.col("key2"))
+    wide = written(_sized(rows, ["tree", "key1"]), "crowded-regions")
+    tiles, pairs = _tiles(rows, wide.where(F.col("outside") <= OUTSIDE), ["tree", "key1"]), None
+    over = wide.where(F.col("outside") > OUTSIDE)
+    if not over.isEmpty():
+        hot = rows.join(over, ["tree", "key1"], "left_semi").select("node", "own").distinct()
+        pairs, more = by_rare_shingles(hot, bodies, k, similarity)
+        tiles = tiles.union(more)
     tile = ["tree", "key1", "key2", "part"]
-    met = some.union(more).join(bodies, "node").repartition(*tile).sortWithinPartitions(*tile, "side")
-    return met.mapInArrow(_met(k, similarity), "a long, b long").distinct()
+    met = tiles.join(bodies, "node").repartition(*tile).sortWithinPartitions(*tile, "side")
+    links = met.mapInArrow(_met(k, similarity), "a long, b long")
+    return (links if pairs is None else links.union(confirmed(written(pairs, "hot-pairs"), bodies, k, similarity))).distinct()
 
 
 def _confirm(k: int, similarity: int):

@@ -104,6 +104,20 @@ def test_near_dedup_of_one_large_family(spark):
     assert sorted(map(tuple, near_dedup.classes(docs, 2).collect()), key=str) == brute_near(docs.collect(), 2)
 
 
+def test_near_dedup_of_one_template(spark, monkeypatch):
+    """Pages of one template whose minima are mostly the template's: regions over OUTSIDE lose no link."""
+    monkeypatch.setattr(near_dedup, "OUTSIDE", 16)
+    template = [f"t{i}" for i in range(94)]
+    rows = []
+    for i in range(800):
+        own = [f"p{i // 2}", *(f"d{i}x{j}" for j in range(11))]
+        rows.append((i, " ".join(template + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(docs.collect(), 5)
+    assert len({r[2] for r in want}) == 400
+    assert sorted(map(tuple, near_dedup.classes(docs, 5).collect()), key=str) == want
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.classes(empty(spark)).count() == 0
     docs = awkward(spark)
