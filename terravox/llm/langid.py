@@ -1,7 +1,7 @@
 """Language by bit-sliced Bloom filters: one lookup gives all languages that have an n-gram.
 
-The filters of all languages share their hash functions and lie across the bits of one array: bit l of word j is
-position j of language l's filter. The AND of an n-gram's words is the mask of languages that contain it. A text's
+The filters of all languages share their hash functions and lie across the bits of one array, with a 64-bit word at
+each position for every 64 languages: bit l of row j is position j of language l's filter. The AND of an n-gram's words is the mask of languages that contain it. A text's
 masks are counted bit by bit; from each language's count goes what its filter's false positives would add by chance;
 the largest share decides. Languages are learned from the values of `lang`; a text without a letter is `und`.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, ids_of, mix, raw, slices
 from .quality import in_fold
 
-#: Bounds of the fit: teaching rows of a language, bytes of a text that may teach, and languages (bits of a word).
-SAMPLE, LONGEST, LANGUAGES = 500, 8_000, 64
+#: Bounds of the fit: teaching rows of a language, bytes of a text that teaches whole, teaching rows of all languages, and rows of each that this leaves at least.
+SAMPLE, LONGEST, TEACHING, LEAST = 500, 8_000, 32_000, 20
 #: n-gram length in bytes, share of a language's texts that have an n-gram before it is taken in, words of the array, and hash functions.
 N, COMMON, WORDS, HASHES = 5, 0.05, 1 << 18, 3
 
@@ -40,15 +40,19 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(code[inside]), row[: len(code)][inside]
 
 
+def with_letters(text: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(text.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 class LanguageFilters:
     def __init__(self, languages: list[str], grams: list[np.ndarray], words: int = WORDS) -> None:
         self.languages, self.mask = languages, np.uint64(words - 1)
-        self.table = np.zeros(words, np.uint64)
+        self.table = np.zeros((words, -(-len(languages) // 64)), np.uint64)
         for bit, own in enumerate(grams):
             for at in self.places(own):
-                np.bitwise_or.at(self.table, at, np.uint64(1) << np.uint64(bit))
+                self.table[at, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
         # what a filter says of an n-gram it doesn't hold
-        fill = np.array([float((self.table >> np.uint64(b) & np.uint64(1)).mean()) for b in range(len(languages))])
+        fill = np.array([float((self.table[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).mean()) for b in range(len(languages))])
         self.chance = fill**HASHES
 
     def places(self, gram: np.ndarray) -> list[np.ndarray]:
@@ -68,12 +72,19 @@ class LanguageFilters:
         gram, row = ngrams(data, offsets)
         n = len(offsets) - 1
         masks, total = self.languages_of(gram), np.bincount(row, minlength=n)
-        hits = np.stack([np.bincount(row[(masks >> np.uint64(b) & np.uint64(1)).astype(bool)], minlength=n) for b in range(len(self.languages))], axis=1)
-        true = np.maximum((hits - total[:, None] * self.chance) / (1 - self.chance), 0)
-        best, share = true.argmax(axis=1), true.max(axis=1) / np.maximum(true.sum(axis=1), 1e-9)
         # texts whose n-grams no filter knows: the first language, with no confidence
-        share = np.where(true.max(axis=1) > 0, share, 0.0)
-        letters = pc.fill_null(pc.match_substring_regex(text.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        best, most, every = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        there = np.bitwise_or.reduce(masks, axis=0)
+        for b, chance in enumerate(self.chance):
+            slot, bit = b // 64, np.uint64(b % 64)
+            if not there[slot] >> bit & np.uint64(1):
+                continue
+            hits = np.bincount(row[(masks[:, slot] >> bit & np.uint64(1)).astype(bool)], minlength=n)
+            true = np.maximum((hits - total * chance) / (1 - chance), 0)
+            best[true > most] = b
+            most, every = np.maximum(most, true), every + true
+        share = most / np.maximum(every, 1e-9)
+        letters = with_letters(text)
         found = np.where(letters, np.array(self.languages, object)[best], UNDETERMINED)
         return pa.array(found.tolist(), pa.string()), np.where(letters, share, 0.0)
 
@@ -81,16 +92,24 @@ class LanguageFilters:
 def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> LanguageFilters | None:
     """Filters from at most `sample` rows of each language outside the held-out fold; None if there are none.
 
-    The most frequent languages are learned, up to LANGUAGES; of each the rows with the smallest hash of their id."""
-    teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0) & (F.octet_length(F.coalesce("text", F.lit(""))) <= longest))
-    hashed = teach.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
-    counts = hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    Every value of lang outside that fold is learned; with many of them each has fewer rows, TEACHING together but LEAST
+    at least. Of each the rows with the smallest hash of their id teach; texts over `longest` bytes only where shorter
+    ones are too few, by their first longest / 4 characters."""
+    teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0))
+    teach = teach.withColumn("long", F.octet_length(F.coalesce("text", F.lit(""))) > longest)
+    hashed = teach.select("doc_id", "lang", "long", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
+    counts = hashed.groupBy("lang").agg(F.count_if(~F.col("long")).alias("shorts"), F.count_if("long").alias("longs"))
+    many = hashed.select("lang").distinct().count()
+    sample = min(sample, max(LEAST, TEACHING // max(1, many)))
     # a threshold on the hash thins each language to little more than the bound before rows meet in a window
-    share = F.least(F.lit(1.0), (sample * 1.5 + 50) / F.col("count"))
+    at_most = lambda room, n: F.least(F.lit(1.0), (room * 1.5 + 50) / F.col(n))
+    extra = F.when(F.col("shorts") < sample, at_most(sample - F.col("shorts"), "longs")).otherwise(0.0)
+    share = F.when(F.col("long"), extra).otherwise(at_most(F.lit(sample), "shorts"))
     thin = hashed.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    chosen = thin.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= sample).select("doc_id")
-    # at most LANGUAGES * sample ids and LANGUAGES * sample * longest bytes
-    rows = teach.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    chosen = thin.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).where(F.col("place") <= sample).select("doc_id")
+    # `sample` ids and sample * longest bytes for each language
+    text = F.when(F.col("long"), F.substring("text", 1, longest // 4)).otherwise(F.col("text")).alias("text")
+    rows = teach.select("doc_id", "lang", text).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     lang = np.array(rows["lang"].to_pylist(), object)

@@ -1,5 +1,7 @@
 """Quality and language: held-out accuracy, folds, and awkward rows."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,6 +74,16 @@ def test_language_of_awkward_rows(spark):
     assert kept.columns == docs.columns and 4 not in {r.doc_id for r in kept.collect()}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a word has bits, and one whose texts are all long."""
+    word = lambda c: "".join(random.Random(c).choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = [(100 * c + i, f"{word(c)} {word(c + 1000)}" * (600 if c == 3 else 1), f"l{c:03}") for c in range(150) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in docs.collect() if len(r.text) > langid.LONGEST} == {300 + i for i in range(10)}
+    got = {r.doc_id: r.lang_pred for r in langid.languages(docs).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_filters_return_every_language_of_an_ngram():
     data = {"a": "alpha beta gamma", "b": "beta delta", "c": ""}
     grams = [langid.ngrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in data.values()]
