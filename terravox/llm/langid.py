@@ -149,14 +149,18 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, margin: float = 1.2, wanted: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows of docs, all columns, with a language: not `und`, `margin` times the share that chance gives (1 over the number of languages), and one of `wanted` if given."""
+    """The rows of docs, all columns, with a language: not `und`, `margin` times the share that chance gives (1 over the number of languages), and one of `wanted` if given.
+
+    With one language to learn from there is no share to compare, and with none no text has a language but `und`: all
+    texts with a letter are kept then (with `wanted`, only those whose language is known to be one of them)."""
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 lang, score = predict_part(filters.value, part)
-                keep = pc.and_(pc.not_equal(lang, UNDETERMINED), pa.array(score * len(filters.value.languages if filters.value else "1") >= margin))
+                keep, many = with_letters(ids_of(part, "text")), len(filters.value.languages) if filters.value else 0
+                keep = pa.array(keep & (score * many >= margin) if many > 1 else keep)
                 yield part.filter(pc.and_(keep, pc.is_in(lang, pa.array(wanted))) if wanted else keep)
 
     return docs.mapInArrow(run, docs.schema)

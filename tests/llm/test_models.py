@@ -74,6 +74,14 @@ def test_language_of_awkward_rows(spark):
     assert kept.columns == docs.columns and 4 not in {r.doc_id for r in kept.collect()}
 
 
+def test_keep_languages_with_one_or_no_language(spark):
+    rows = [(i, f"some words about number {i}") for i in range(20)] + [(20, "12 34"), (21, None)]
+    for lang in ("en", None):
+        docs = spark.createDataFrame([(*r, lang) for r in rows], "doc_id long, text string, lang string")
+        assert {r.doc_id for r in langid.keep_languages(docs).collect()} == set(range(20))
+        assert {r.doc_id for r in langid.keep_languages(docs, wanted=("en",)).collect()} == (set(range(20)) if lang else set())
+
+
 def test_every_language_is_learned(spark):
     """More languages than a word has bits, and one whose texts are all long."""
     word = lambda c: "".join(random.Random(c).choices("abcdefghijklmnopqrstuvwxyz", k=9))
