@@ -107,19 +107,27 @@ def isosurface(cells: DataFrame, level: float) -> DataFrame:
 def greedy_maxima(cells: DataFrame, n: int, spacing: float, candidates: int = 100_000) -> DataFrame:
     """Up to n cells in falling order of value, none nearer than `spacing` to one before it; ties to the smaller index.
 
-    Only local maxima can be chosen first, and each choice removes a ball; the largest `candidates` maxima are considered
-    on the driver, and n must stay well below that."""
+    Each choice removes a ball. The largest `candidates` cells outside all balls so far are gone through on the driver,
+    again and again until n are found or no cell is left; n must stay well below that number."""
     if n * 10 > candidates:
         raise ValueError("n must be at most a tenth of the candidates")
     axes = axes_of(cells)
-    rows = cells.where(V.isNotNull()).orderBy(F.desc("value"), *axes).limit(candidates).select(*axes, "value").collect()
+    known, schema = cells.where(V.isNotNull()).select(*axes, "value"), ", ".join(f"{a} int" for a in axes) + ", value double"
     chosen: list = []
-    for r in rows:
-        if len(chosen) == n:
+    outside = known
+    while len(chosen) < n:
+        rows = outside.orderBy(F.desc("value"), *axes).limit(candidates).collect()
+        for r in rows:
+            if len(chosen) == n:
+                break
+            if all(sum((r[a] - c[a]) ** 2 for a in axes) >= spacing * spacing for c in chosen):
+                chosen.append(r)
+        if len(rows) < candidates:
             break
-        if all(sum((r[a] - c[a]) ** 2 for a in axes) >= spacing * spacing for c in chosen):
-            chosen.append(r)
-    return cells.sparkSession.createDataFrame(chosen, ", ".join(f"{a} int" for a in axes) + ", value double")
+        balls = cells.sparkSession.createDataFrame(chosen, schema).select(*(F.col(a).alias(f"{a}_c") for a in axes))
+        d2 = sum(((F.col(a) - F.col(f"{a}_c")).cast("double") * (F.col(a) - F.col(f"{a}_c")) for a in axes), F.lit(0.0))
+        outside = known.join(F.broadcast(balls), d2 < spacing * spacing, "left_anti")
+    return cells.sparkSession.createDataFrame(chosen, schema)
 
 
 def scan_grid(points: DataFrame, column: str, rows: str, columns: str, key: Sequence[str] = ()) -> DataFrame:

@@ -251,3 +251,11 @@ def test_greedy_maxima_keep_their_distance(spark):
 
     cells = spark.createDataFrame([(1, x, y, float(10 * x + y)) for x in range(6) for y in range(6)], "grid_id int, ix int, iy int, value double")
     assert [(r.ix, r.iy) for r in depth.greedy_maxima(cells, 3, 3.0).orderBy(F.desc("value")).collect()] == [(5, 5), (5, 2), (2, 5)]
+
+
+def test_greedy_maxima_go_on_when_one_ball_holds_all_candidates(spark):
+    from terravox.operators import depth
+
+    cells = spark.createDataFrame([(1, x, 0, float(200 - x)) for x in range(200)], "grid_id int, ix int, iy int, value double")
+    pick = lambda n: [r.ix for r in depth.greedy_maxima(cells, n, 60.0, candidates=50).orderBy(F.desc("value")).collect()]
+    assert pick(2) == [0, 60] and pick(5) == [0, 60, 120, 180]
