@@ -15,10 +15,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, texts, written
+from .common import new_path, slices, written
 
 #: Fixed values of WARC 1.1 and HTTP.
 VERSION, REVISIT_PROFILE, CRLF = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"\r\n"
@@ -34,7 +35,7 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _record_urn(kind: str, page_id: int | None, url: str | None, place: int) -> str:
-    """A urn:uuid that a retried task makes again; repeated rows differ by their place."""
+    """A urn:uuid that a retried task makes again; repeated rows differ by their place, which no two tasks share."""
     h = hashlib.md5(f"{kind} {page_id} {place} {url}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
@@ -67,26 +68,16 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, place: int
     return [first, request, meta]
 
 
-def _payload_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = TaskContext.get().partitionId() << 40
     for batch in batches:
         for part in slices(batch, "html"):
-            html = [t.encode() for t in texts(part.column(1)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(b) for b in html], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in html], pa.binary())], ["page_id", "n", "sha"])
-
-
-def _write(first_place: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = first_place
-        for batch in batches:
-            for part in slices(batch, "html"):
-                out = []
-                for page_id, url, html, owner in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    payload = (html or "").encode()
-                    out += transaction(page_id, url, payload, place, None if owner is None else (owner, ""))
-                    place += 1
-                yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in out], pa.string())], ["value"])
-
-    return run
+            out = []
+            for page_id, url, html, owner in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                payload = (html or "").encode()
+                out += transaction(page_id, url, payload, place, None if owner is None else (owner, ""))
+                place += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in out], pa.string())], ["value"])
 
 
 def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, compress: bool = True) -> str:
@@ -95,18 +86,19 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     Of pages with equal payloads of at least least_bytes bytes, that with the largest page_id is written as response,
     the others as revisits of it; pages with smaller payloads are all responses. Null html is an empty payload, a null
     url leaves the target out; rows without a page_id are always responses. Repeated rows of one page_id are written
-    as often as they stand there. An empty table leaves an empty folder.
+    as often as they stand there, each with its own payload's verdict. An empty table leaves an empty folder.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     own = pages.select("page_id", "url", "html")
-    keys = own.select("page_id", "html").mapInArrow(_payload_keys, "page_id long, n long, sha binary").where(F.col("n") >= least_bytes)
-    keys = written(keys, "warc-keys")
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    own = own.withColumns({"n": F.octet_length(payload).cast("long"), "sha": F.unhex(F.sha2(payload, 256))})
+    keys = written(own.select(F.col("page_id").cast("long").alias("page_id"), "n", "sha").where(F.col("n") >= least_bytes), "warc-keys")
     largest = keys.groupBy("n", "sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("members")).where("members > 1")
-    # page_id is the key of pages; min() makes one row of repeated ones
-    revisits = keys.join(largest, ["n", "sha"]).where("page_id < owner").groupBy("page_id").agg(F.max("owner").alias("owner"))
-    rows = own.join(revisits, "page_id", "left").select("page_id", "url", "html", "owner")
-    records = rows.mapInArrow(_write(0), "value string")
+    # a page_id may stand there with several payloads, and with one of them several times
+    revisits = keys.join(largest, ["n", "sha"]).where("page_id < owner").select("page_id", "n", "sha", "owner").distinct()
+    rows = own.join(revisits, ["page_id", "n", "sha"], "left").select("page_id", "url", "html", "owner")
+    records = rows.mapInArrow(_write, "value string")
     out = records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
     (out.option("compression", "gzip") if compress else out).text(path)
     return path

@@ -38,6 +38,18 @@ def test_warc_round_trip(spark, least):
     assert warc.captures(pages.where("false")).count() == 0
 
 
+def test_warc_of_repeated_rows_in_several_partitions(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (3, "u", "c")]
+    for i in (0, 1):
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    assert pages.rdd.getNumPartitions() == 2
+    got = sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.captures(pages).collect())
+    sha = lambda html: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    want = [(1, sha("a"), "revisit", 2), (1, sha("b"), "response", None), (2, sha("a"), "response", None), (3, sha("c"), "response", None)]
+    assert got == sorted(want * 2, key=lambda r: r[:3])
+
+
 def test_warc_transactions_are_whole(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
     path = warc.write_archives(pages, f"file://{tmp_path}/out")
