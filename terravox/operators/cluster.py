@@ -46,11 +46,12 @@ def region_growing(edges: DataFrame, least: float) -> DataFrame:
     return components(edges.where(F.col("affinity") >= least).select("a", "b"))
 
 
-def agglomerate(points: DataFrame, edges: DataFrame, max_distance: float, least: float = 0.1, ident: str = "surfel_id", rounds: int = 60) -> DataFrame:
+def agglomerate(points: DataFrame, edges: DataFrame, max_distance: float, least: float = 0.1, ident: str = "surfel_id", rounds: int = 1_000) -> DataFrame:
     """(id, cluster): clusters merge with their best neighbour as long as the affinity of their centroids allows.
 
     Each round every cluster picks its best neighbour (ties to the smaller one) and pairs that pick each other merge, so
-    all regions merge at once. edges: (a, b) of the neighbour graph."""
+    all regions merge at once, until no pair does; the best pair of all always merges, so that comes to an end. `rounds`
+    is a bound for safety. edges: (a, b) of the neighbour graph."""
     label = step(points.select(ident, F.col(ident).alias("cluster")))
     position = points.select(ident, *AXES)
     for _ in range(rounds):
@@ -67,7 +68,7 @@ def agglomerate(points: DataFrame, edges: DataFrame, max_distance: float, least:
         if merged.isEmpty():
             return label
         label = step(label.join(merged, F.col("cluster") == F.col("ca"), "left").select(ident, F.coalesce("cb", "cluster").alias("cluster")))
-    return label
+    raise RuntimeError(f"clusters still merge after {rounds} rounds")
 
 
 def merge_small(labels: DataFrame, least: int, ident: str = "surfel_id") -> DataFrame:

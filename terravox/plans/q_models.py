@@ -204,7 +204,7 @@ def region_growing(spark, sf):
 @query()
 def agglomerative_objects(spark, sf):
     s, e = _near(spark, sf)
-    return C.agglomerate(s, e.select("a", "b"), 0.2, 0.3, rounds=6)
+    return C.agglomerate(s, e.select("a", "b"), 0.2, 0.3)
 
 
 @query()

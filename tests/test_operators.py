@@ -259,3 +259,30 @@ def test_greedy_maxima_go_on_when_one_ball_holds_all_candidates(spark):
     cells = spark.createDataFrame([(1, x, 0, float(200 - x)) for x in range(200)], "grid_id int, ix int, iy int, value double")
     pick = lambda n: [r.ix for r in depth.greedy_maxima(cells, n, 60.0, candidates=50).orderBy(F.desc("value")).collect()]
     assert pick(2) == [0, 60] and pick(5) == [0, 60, 120, 180]
+
+
+def test_agglomeration_runs_until_nothing_merges(spark):
+    from terravox.operators import cluster
+
+    at, x = [], 0.0
+    for i in range(9):
+        at.append((i, x, 0.0, 0.0))
+        x += 1 + i  # the next point is always nearer to the cluster than to the one after it
+    points = spark.createDataFrame(at, "surfel_id long, x double, y double, z double")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    assert {r.cluster for r in cluster.agglomerate(points, edges, 1000.0).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        cluster.agglomerate(points, edges, 1000.0, rounds=1)
+
+
+def test_agglomerative_objects_are_a_fixed_point(spark):
+    from terravox import queries
+    from terravox.plans.q_models import _near
+
+    sf = "/root/testdata/sf0.001"
+    label = {r.surfel_id: r.cluster for r in queries.registry()["agglomerative_objects"](spark, sf).collect()}
+    s, e = _near(spark, sf)
+    at = {r.surfel_id: np.array([r.x, r.y, r.z]) for r in s.collect()}
+    centre = {c: np.mean([at[i] for i in at if label[i] == c], axis=0) for c in set(label.values())}
+    touching = {(label[r.a], label[r.b]) for r in e.collect() if label[r.a] != label[r.b]}
+    assert all(1 - np.linalg.norm(centre[a] - centre[b]) / 0.2 < 0.3 for a, b in touching)
