@@ -11,12 +11,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, written
@@ -24,19 +24,19 @@ from .common import new_path, slices, written
 #: Fixed values of WARC 1.1 and HTTP.
 VERSION, REVISIT_PROFILE, CRLF = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"\r\n"
 
-#: Records of a file when written; the reader loads a file at a time.
-RECORDS_PER_FILE = 6_000
+#: Payload bytes of a file when written (as a number of records of mean size); a reader holds one compressed file and one record.
+FILE_BYTES = 64 << 20
 
-_RECORDS = "record_id string, concurrent_to string, refers_to string, kind string, uri string, date string, page_id long, payload_bytes long, payload_digest string, block_bytes long"
+_RECORDS = "record_id string, concurrent_to string, refers_to string, kind string, uri string, date string, page_id long, refers_to_page long, payload_bytes long, payload_digest string, block_bytes long"
 
 
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record_urn(kind: str, page_id: int | None, url: str | None, place: int) -> str:
-    """A urn:uuid that a retried task makes again; repeated rows differ by their place, which no two tasks share."""
-    h = hashlib.md5(f"{kind} {page_id} {place} {url}".encode()).hexdigest()
+def _record_urn(kind: str, page_id: int | None, digest: str, ordinal: int) -> str:
+    """A urn:uuid of what the record holds, so a retried task makes it again and a revisit can name its response; equal rows differ by their ordinal."""
+    h = hashlib.md5(f"{kind} {page_id} {digest} {ordinal}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
@@ -51,32 +51,31 @@ def _record(kind: str, urn: str, fields: list[tuple[str, object]], block: bytes)
     return VERSION.encode() + CRLF + _head(lead) + CRLF + block + CRLF
 
 
-def transaction(page_id: int | None, url: str | None, payload: bytes, place: int, owner: tuple[int, str] | None) -> list[bytes]:
-    """Response or revisit, request and metadata of one page. owner: page_id and digest of the response it revisits."""
-    urn = _record_urn("response", page_id, url, place)
-    target, digest = [("WARC-Target-URI", url)], f"sha1:{sha1_base32(payload)}"
+def transaction(page_id: int | None, url: str | None, payload: bytes, ordinal: int = 0, owner: int | None = None) -> list[bytes]:
+    """Response or revisit, request and metadata of one page. owner: page_id of the response with the same payload that it revisits."""
+    digest = f"sha1:{sha1_base32(payload)}"
+    urn = _record_urn("response", page_id, digest, ordinal)
+    target = [("WARC-Target-URI", url)]
     http = b"HTTP/1.1 200 OK\r\n" + _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))]) + CRLF
     own = [*target, ("WARC-Payload-Digest", digest), ("X-Page-ID", page_id), ("Content-Type", "application/http;msgtype=response")]
     if owner is None:
         first = _record("response", urn, own, http + payload)
     else:
-        first = _record("revisit", urn, [*own, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{owner[0]}>")], http)
+        refers = [("WARC-Refers-To", _record_urn("response", owner, digest, 0)), ("X-Refers-To-Page-ID", owner)]
+        first = _record("revisit", urn, [*own, ("WARC-Profile", REVISIT_PROFILE), *refers], http)
     joined = [*target, ("WARC-Concurrent-To", urn)]
     asked = f"GET {re.sub(r'\s+', '%20', url or '/')} HTTP/1.1\r\n\r\n".encode()
-    request = _record("request", _record_urn("request", page_id, url, place), [*joined, ("Content-Type", "application/http;msgtype=request")], asked)
-    meta = _record("metadata", _record_urn("metadata", page_id, url, place), [*joined, ("Content-Type", "application/warc-fields")], _head([("payload-bytes", len(payload)), ("page-id", page_id)]))
+    request = _record("request", _record_urn("request", page_id, digest, ordinal), [*joined, ("Content-Type", "application/http;msgtype=request")], asked)
+    meta = _record("metadata", _record_urn("metadata", page_id, digest, ordinal), [*joined, ("Content-Type", "application/warc-fields")], _head([("payload-bytes", len(payload)), ("page-id", page_id)]))
     return [first, request, meta]
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = TaskContext.get().partitionId() << 40
     for batch in batches:
         for part in slices(batch, "html"):
             out = []
-            for page_id, url, html, owner in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = (html or "").encode()
-                out += transaction(page_id, url, payload, place, None if owner is None else (owner, ""))
-                place += 1
+            for page_id, url, html, owner, ordinal in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                out += transaction(page_id, url, (html or "").encode(), ordinal, owner)
             yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in out], pa.string())], ["value"])
 
 
@@ -86,43 +85,59 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     Of pages with equal payloads of at least least_bytes bytes, that with the largest page_id is written as response,
     the others as revisits of it; pages with smaller payloads are all responses. Null html is an empty payload, a null
     url leaves the target out; rows without a page_id are always responses. Repeated rows of one page_id are written
-    as often as they stand there, each with its own payload's verdict. An empty table leaves an empty folder.
+    as often as they stand there, each with its own payload's verdict: rows that agree in page_id and payload are
+    numbered, other rows need no number. An empty table leaves an empty folder. Other columns are ignored. A text is
+    held whole, about four times its bytes at once.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    own = pages.select("page_id", "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     own = own.withColumns({"n": F.octet_length(payload).cast("long"), "sha": F.unhex(F.sha2(payload, 256))})
-    keys = written(own.select(F.col("page_id").cast("long").alias("page_id"), "n", "sha").where(F.col("n") >= least_bytes), "warc-keys")
-    largest = keys.groupBy("n", "sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("members")).where("members > 1")
+    keys = written(own.select("page_id", "n", "sha"), "warc-keys")
+    size = keys.agg(F.count("*").alias("rows"), F.sum("n").alias("bytes")).first()
+    largest = keys.where(F.col("n") >= least_bytes).groupBy("n", "sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("members")).where("members > 1")
     # a page_id may stand there with several payloads, and with one of them several times
-    revisits = keys.join(largest, ["n", "sha"]).where("page_id < owner").select("page_id", "n", "sha", "owner").distinct()
-    rows = own.join(revisits, ["page_id", "n", "sha"], "left").select("page_id", "url", "html", "owner")
+    each = written(keys.groupBy("page_id", "n", "sha").agg(F.count("*").alias("copies")), "warc-pages")
+    revisits = each.join(largest, ["n", "sha"]).where("page_id < owner").select("page_id", "n", "sha", "owner", "copies")
+    repeats = each.where("copies > 1")
+    # rows are matched by equal or equally missing page_id: a missing one is text here, so that the join stays an equi-join
+    on = lambda df: df.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("-"))).drop("page_id")
+    rows = on(own).join(on(revisits).drop("copies"), ["page", "n", "sha"], "left")
+    first = lambda df: df.select(F.when(F.col("page") != "-", F.col("page").cast("long")).alias("page_id"), "url", "html", "owner", "ordinal")
+    if repeats.isEmpty():
+        rows = first(rows.withColumn("ordinal", F.lit(0).cast("long")))
+    else:
+        again = on(repeats).select("page", "n", "sha")
+        number = F.row_number().over(Window.partitionBy("page", "n", "sha").orderBy("url")) - 1
+        numbered = rows.join(again, ["page", "n", "sha"], "left_semi").withColumn("ordinal", number.cast("long"))
+        rows = first(rows.join(again, ["page", "n", "sha"], "left_anti").withColumn("ordinal", F.lit(0).cast("long"))).union(first(numbered))
     records = rows.mapInArrow(_write, "value string")
-    out = records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    per_file = max(30, min(1_000_000, 3 * FILE_BYTES * (size["rows"] or 1) // max(1, (size["bytes"] or 0) + 600 * (size["rows"] or 1))))
+    out = records.write.option("lineSep", "\r\n").option("maxRecordsPerFile", per_file)
     (out.option("compression", "gzip") if compress else out).text(path)
     return path
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive, gzipped by file or record, or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a WARC record's header has no end")
+    """Headers (names in lower case) and block of each record of an archive, gzipped by file or record, or plain.
+
+    The archive is unpacked as it is read, a record at a time."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data), 1 << 20)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         head: dict[str, str] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()) != CRLF:
+            if not line:
+                raise ValueError("a WARC record's header has no end")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.read(size)
         if len(block) < size:
             raise ValueError(f"record {head.get('warc-record-id')} ends before its Content-Length")
         yield head, block
-        at = end + 4 + size
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -132,17 +147,18 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes]:
 
 def _read(with_payload: bool):
     names = [x.split()[0] for x in _RECORDS.split(", ")] + ["payload"] * with_payload
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
+    kinds = [pa.string()] * 6 + [pa.int64()] * 3 + [pa.string(), pa.int64()] + [pa.binary()] * with_payload
 
     def row(head: dict[str, str], block: bytes) -> tuple:
         kind = head.get("warc-type", "")
-        digest, size, body, page = None, None, None, head.get("x-page-id")
+        digest, size, body = None, None, None
+        page, refers = (int(head[x]) if x in head else None for x in ("x-page-id", "x-refers-to-page-id"))
         if kind == "response":
             body = _http(block)[1]
             digest, size = sha1_base32(body), len(body)  # of what the archive holds, not of what its header says
         elif kind == "revisit":
             size, digest = int(_http(block)[0].get("content-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha1:")
-        base = (head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), kind, head.get("warc-target-uri"), head.get("warc-date"), None if page is None else int(page), size, digest, len(block))
+        base = (head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), kind, head.get("warc-target-uri"), head.get("warc-date"), page, refers, size, digest, len(block))
         return (*base, body) if with_payload else base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +199,12 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages, read the archives back and give one row per capture: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    path = write_archives(pages, least_bytes=least_bytes)
-    r = assemble(read_archives(pages.sparkSession, path))
-    target = F.regexp_extract("response.refers_to", r"<urn:page:(-?\d+)>", 1)
-    return r.select("response.page_id", "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), F.when(F.col("response.kind") == "revisit", target.cast("long")).alias("refers_to"))
+    """Write pages(page_id, url, html, ...), read the archives back and give one row per capture: page_id,
+    payload_bytes, payload_digest, record_type, refers_to.
+
+    Nulls, empty payloads, repeated rows, ties and empty tables are as in write_archives(): n rows give n captures, and
+    an empty table gives none. refers_to is null for responses. Columns of other names are ignored.
+    """
+    r = assemble(read_archives(pages.sparkSession, write_archives(pages, least_bytes=least_bytes)))
+    kind = F.col("response.kind")
+    return r.select("response.page_id", "response.payload_bytes", "response.payload_digest", kind.alias("record_type"), F.when(kind == "revisit", F.col("response.refers_to_page")).alias("refers_to"))

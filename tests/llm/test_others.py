@@ -50,6 +50,20 @@ def test_warc_of_repeated_rows_in_several_partitions(spark, tmp_path):
     assert got == sorted(want * 2, key=lambda r: r[:3])
 
 
+def test_warc_loses_no_row(spark):
+    """Equal rows in many partitions, one page_id with several payloads, and record ids that revisits name."""
+    rows = [(5, "u", "A")] * 6 + [(5, "u", "AAA"), (5, "u", "BBB"), (9, "u", "AAA"), (5, "u", "BBB"), (None, "u", "BBB"), (None, "v", "BBB"), (None, "v", None)]
+    for parts in (1, 6):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.captures(pages).collect()), key=str)
+        want = [(5, 1, "response", None)] * 6 + [(5, 3, "revisit", 9), (9, 3, "response", None)] + [(5, 3, "response", None)] * 2 + [(None, 3, "response", None)] * 2 + [(None, 0, "response", None)]
+        assert got == sorted(want, key=str)
+        records = warc.read_archives(spark, warc.write_archives(pages)).collect()
+        ids = [r.record_id for r in records]
+        assert len(ids) == len(set(ids)) == 3 * len(rows)
+        assert {r.refers_to for r in records if r.refers_to} <= {r.record_id for r in records if r.kind == "response"}
+
+
 def test_warc_transactions_are_whole(spark, tmp_path):
     pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string")
     path = warc.write_archives(pages, f"file://{tmp_path}/out")
@@ -63,7 +77,7 @@ def test_warc_transactions_are_whole(spark, tmp_path):
 
 
 def test_warc_parser_reads_members_and_rejects_cut_archives():
-    one = b"".join(x + b"\r\n" for x in warc.transaction(1, "http://x/", b"payload", 0, None))
+    one = b"".join(x + b"\r\n" for x in warc.transaction(1, "http://x/", b"payload"))
     members = gzip.compress(one[:0]) + gzip.compress(one)
     assert [h["warc-type"] for h, _ in warc.parse(members)] == ["response", "request", "metadata"]
     with pytest.raises(ValueError):
