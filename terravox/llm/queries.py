@@ -87,6 +87,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Base32 of 40 hexadecimal digits: five of them are four letters.
+_FIVE = "CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)"
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(({_FIVE} >> {shift}) & 31 AS INTEGER), 1)" for shift in (15, 10, 5, 0))
+_BASE32 = f"array_to_string(list_transform(range(8), lambda i: {_LETTERS}), '')"
+
+#: CRC-32 byte by byte over the hexadecimal digits of a text, with its table of 256 remainders.
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (
+            SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+                                  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+            FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))))"""
+_HEX = "hex(encode(coalesce(text, '')))"
+_BYTES = f"list_transform(range(CAST(length({_HEX}) // 2 AS BIGINT)), lambda i: CAST('0x' || substr({_HEX}, 2 * i + 1, 2) AS BIGINT))"
+_CRC = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {_BYTES}), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295)"
+
 ORACLES = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
@@ -102,6 +116,26 @@ ORACLES = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS owner FROM p)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < owner THEN owner END AS refers_to
+        FROM d""",
+    "op8_byte_shards": f"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_CRC} AS text_crc32,
+                     min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS owner
+              FROM documents, crc_table),
+        r AS (SELECT *, sum(size) OVER w - size AS start, row_number() OVER w - 1 AS place, sum(size) OVER () AS total
+              FROM d WINDOW w AS (ORDER BY owner NULLS FIRST, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+        c AS (SELECT *, least(7, floor((start + size / 2.0) / (total / 8.0))) AS own FROM r),
+        g AS (SELECT owner, min(own) AS low, max(own) AS high, min(start) AS a, max(start + size) AS b, max(total) AS total FROM c GROUP BY owner),
+        s AS (SELECT c.*, CAST(CASE WHEN low < high AND b - a <= g.total / 8.0 * 0.002 THEN least(7, floor((a + b) / 2.0 / (g.total / 8.0))) ELSE own END AS INTEGER) AS shard
+              FROM c JOIN g ON c.owner IS NOT DISTINCT FROM g.owner)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM s""",
 }
 
 

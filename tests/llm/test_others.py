@@ -189,7 +189,8 @@ def test_queries_match_their_sql(spark):
             got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
             order = list(want.columns)
             a, b = (x.sort_values(order).reset_index(drop=True) for x in (got, want))
-            assert len(a) == len(b) and all((np.isclose(a[c], b[c], rtol=1e-13).all() if a[c].dtype.kind == "f" else (a[c] == b[c]).all()) for c in order), name
+            same = lambda x, y: np.isclose(x, y, rtol=1e-13, equal_nan=True) if x.dtype.kind == y.dtype.kind == "f" else (x == y) | (x.isna() & y.isna())
+            assert len(a) == len(b) and all(same(a[c], b[c]).all() for c in order), name
 
 
 def test_entry_works_without_the_subpackage(tmp_path):
