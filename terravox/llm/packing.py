@@ -1,10 +1,15 @@
-"""Packing token pieces into sequences: best-fit bin completion with branch and bound.
+"""Packing token pieces into sequences: bin completion with branch and bound.
 
 Bins are filled around the largest piece that is left. A depth-first search enumerates fillings of what it leaves
-free, longest pieces first and only by length (pieces of one length are interchangeable, and a filling that another
-one dominates piece by piece is never preferred); the best-fit filling is the incumbent, a branch whose free space
-can't get below the incumbent's waste is cut, and a perfect filling ends the search. Small blocks are searched
-across bins too, with backtracking, until the lower bound of the total is met.
+free, by length (pieces of one length are interchangeable) and longest pieces first. A filling is dominated, and
+dropped, if a piece that is left would still fit, or if one that is left could stand in for some of its pieces and fill
+the bin better. The others are tried by rising waste.
+
+Best-fit decreasing gives the first incumbent, and a bound on sums and on large pieces says when nothing is better. A
+packing in as few bins as the incumbent may waste only so much: a filling with which the waste so far goes beyond that
+is cut, and the search goes back to the next filling of the bin before. Each packing that is found is the new
+incumbent, and the next has to save a bin. The search has NODES nodes a piece; what the incumbent is by then stays, so a
+block never takes more bins than by best fit.
 
 Rows are dealt to blocks of a bounded number of pieces, each packed on its own; a block wastes less than it would
 with its neighbours only in its last few sequences.
@@ -13,6 +18,7 @@ with its neighbours only in its last few sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,139 +34,193 @@ from .common import LOWER, ids_of, mix, raw, slices
 from .word_table import WordTable
 
 SEQUENCE = 4096
-#: Documents of a block on average; nodes of the search for one bin, and across the bins of a small block.
-BLOCK, NODES, SMALL, SMALL_NODES = 20_000, 300, 64, 20_000
+#: Documents of a block on average; nodes of the search for one filling, fillings of a bin that are kept, and nodes for each piece of a block (a small block has MORE).
+BLOCK, FILLING, KEPT, NODES, MORE = 20_000, 300, 12, 30, 30_000
 
 
-class Lengths:
-    """How many pieces there are of each length, with the largest length up to a bound found by path compression."""
+class Stock:
+    """How many pieces there are of each length; bit n of `present` says whether there is any of length n."""
 
     def __init__(self, counts: np.ndarray) -> None:
         self.count = counts.tolist()
-        self.below = [i if c else i - 1 for i, c in enumerate(self.count)]
-        self.below[0] = 0
+        self.present = int.from_bytes(np.packbits(counts > 0, bitorder="little").tobytes(), "little")
 
     def at_most(self, n: int) -> int:
-        """0 if there is none."""
-        root = n
-        while root and not self.count[root]:
-            root = self.below[root] if self.below[root] < root else root - 1
-        while n > root:  # later look-ups go straight there
-            after = self.below[n] if self.below[n] < n else n - 1
-            if not self.count[n]:
-                self.below[n] = root
-            n = after
-        return root
+        """The largest length up to n, 0 if there is none (bit 0 stands for that)."""
+        return (self.present & ((2 << n) - 1)).bit_length() - 1
 
     def take(self, n: int) -> None:
         self.count[n] -= 1
+        if not self.count[n]:
+            self.present ^= 1 << n
+
+    def give(self, n: int) -> None:
+        if not self.count[n]:
+            self.present ^= 1 << n
+        self.count[n] += 1
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins by best-fit decreasing: each piece, largest first, into the fullest bin that has room."""
+    bins: list[list[int]] = []
+    free: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by room
+    rooms = 0
+    for n in range(capacity, 0, -1):
+        for _ in range(int(counts[n])):
+            if fits := rooms >> n:
+                room = n + (fits & -fits).bit_length() - 1
+                own = free[room].pop()
+                if not free[room]:
+                    rooms ^= 1 << room
+            else:
+                room, own = capacity, len(bins)
+                bins.append([])
+            bins[own].append(n)
+            room -= n
+            if room:
+                free[room].append(own)
+                rooms |= 1 << room
+    return bins
 
 
-def fillings(lengths: Lengths, free: int, nodes: int = NODES) -> list[int]:
-    """The lengths that fill most of `free`."""
-    best: list[int] = []
-    least = free
-    used: dict[int, int] = {}
-    left = nodes
-
-    def search(space: int, top: int, chosen: list[int]) -> bool:
-        nonlocal best, least, left
-        if space < least:
-            best, least = chosen[:], space
-        if not space or left <= 0:
-            return True
-        n = lengths.at_most(min(space, top))
-        tried = 0
+def least_bins(counts: np.ndarray, capacity: int) -> int:
+    """A lower bound: for each length k, pieces over capacity - k are alone, those over half can't meet, and pieces from k to half share what room these leave."""
+    n = np.arange(capacity + 1)
+    number, total = np.cumsum(counts), np.cumsum(counts * n)
+    half = capacity // 2
+    k = np.arange(0, half + 1)
+    alone = number[capacity] - number[capacity - k]
+    large, sum_large = number[capacity - k] - number[half], total[capacity - k] - total[half]
+    sum_small = total[half] - np.where(k > 0, total[np.maximum(k - 1, 0)], 0)
+    return int((alone + large + np.maximum(0, -((large * capacity - sum_large - sum_small) // capacity))).max())
+
+
+def dominated(filling: list[int], room: int, present: int) -> bool:
+    """Could a piece that is left replace some pieces of the filling and leave less room (or the same room, for several pieces)?"""
+    single = several = 0
+    for n in filling:
+        several |= (single | several) << n
+        single |= 1 << n
+    if several & present:
+        return True
+    every, width = (single | several) << 1, 1
+    if not room:
+        return False
+    while width < room:
+        step = min(width, room - width)
+        every |= every << step
+        width += step
+    return bool(every & present)
+
+
+def fillings(stock: Stock, free: int, waste: int, nodes: int = FILLING) -> tuple[list[list[int]], int]:
+    """Undominated fillings of `free` that leave at most `waste`, least room first, and the nodes that were visited.
+
+    The search ends early once it has a perfect one; where it ends for lack of nodes, a dominated one may be the best."""
+    found: list[tuple[int, list[int]]] = []
+    other: tuple[int, list[int]] = (waste + 1, [])
+    chosen: list[tuple[int, int]] = []
+    left, perfect = nodes, False
+
+    def keep(room: int) -> None:
+        nonlocal other, perfect
+        present, own = stock.present, [n for n, k in chosen for _ in range(k)]
+        for n, k in chosen:
+            if stock.count[n] == k:
+                present ^= 1 << n
+        if not dominated(own, room, present):
+            found.append((room, own))
+            perfect = perfect or not room
+        elif room < other[0]:
+            other = (room, own)
+
+    def search(room: int, top: int, skipped: int) -> None:
+        """skipped: the smallest length of which one more would have fitted; a filling that has room for it is dominated."""
+        nonlocal left
+        n = stock.at_most(min(room, top))
+        if not n and room <= waste and room < skipped:
+            keep(room)
         while n:
-            left -= 1
-            have = lengths.count[n] - used.get(n, 0)
-            if have > 0:
-                # what is left when this length is repeated as often as it fits bounds this branch
-                if n < space - least and have * n < space - least and not lengths.at_most(n - 1):
-                    break
-                used[n] = used.get(n, 0) + 1
-                chosen.append(n)
-                done = search(space - n, n, chosen)
+            most = min(stock.count[n], room // n)
+            for k in range(most, 0, -1):
+                left -= 1
+                chosen.append((n, k))
+                search(room - k * n, n - 1, skipped if k == most else min(skipped, n))
                 chosen.pop()
-                used[n] -= 1
-                if done and (not least or left <= 0):
-                    return True
-                tried += 1
-            if left <= 0:
-                return True
-            n = lengths.at_most(n - 1)
-        return not least
+                if left <= 0 or (perfect and left < nodes - 60):
+                    return
+            skipped = min(skipped, n)
+            n = stock.at_most(n - 1)
 
-    search(free, free, [])
-    return best
+    search(free, free, free + 1)
+    if not found or other[0] < min(found)[0]:  # what dominates it lies beyond the nodes
+        found.append(other) if other[0] <= waste else None
+    return [f for _, f in sorted(found, key=lambda f: f[0])[:KEPT]], nodes - left
 
 
 def complete(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins as lists of lengths."""
-    counts = np.bincount(sizes, minlength=capacity + 1)
-    lengths, bins = Lengths(counts), []
-    while n := lengths.at_most(capacity):
-        lengths.take(n)
-        own = [n]
-        if n < capacity:
-            for m in fillings(lengths, capacity - n):
-                lengths.take(m)
-                own.append(m)
-        bins.append(own)
-    return bins
+    """Bins as lists of lengths, never more than best-fit decreasing makes."""
+    counts, whole = np.bincount(sizes, minlength=capacity + 1), int(sizes.sum())
+    best, bound = best_fit(counts, capacity), least_bins(counts, capacity)
+    goal, nodes = len(best), NODES * len(sizes) + MORE
+    while goal >= bound and len(sizes):
+        bins, used = _search(Stock(counts), capacity, goal * capacity - whole, nodes)
+        nodes -= used
+        if bins is None:
+            break
+        best, goal = bins, len(bins) - 1
+    return best
 
 
-def search_bins(sizes: list[int], capacity: int, incumbent: list[list[int]], nodes: int = SMALL_NODES) -> list[list[int]]:
-    """Bin completion across the bins of a small block: waste bounds against the incumbent's number of bins."""
-    left, best = nodes, incumbent
-
-    def fill(free: int, items: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        """Maximal fillings: nothing that is left would fit as well."""
-
-        def grow(start: int, space: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-            last, more = 0, False
-            for i in range(start, len(items)):
-                if items[i] <= space and items[i] != last:
-                    last, more = items[i], True
-                    yield from grow(i + 1, space - items[i], (*chosen, items[i]))
-            if not more:
-                yield chosen
-
-        yield from grow(0, free, ())
-
-    def go(items: tuple[int, ...], bins: list[list[int]]) -> None:
-        nonlocal left, best
-        if not items:
-            if len(bins) < len(best):
-                best = [b[:] for b in bins]
-            return
-        if len(bins) + -(-sum(items) // capacity) >= len(best) or left <= 0:
-            return
-        found, seen = [], 0
-        for f in fill(capacity - items[0], items[1:]):
-            left -= 1
-            seen += 1
-            found.append(f)
-            if left <= 0 or seen > 500:
-                break
-        for f in sorted(set(found), key=lambda f: (-sum(f), len(f)))[:20]:
-            rest = list(items[1:])
-            for n in f:
-                rest.remove(n)
-            go(tuple(rest), [*bins, [items[0], *f]])
-            if left <= 0:
-                return
-
-    go(tuple(sorted(sizes, reverse=True)), [])
-    return best
+def _search(stock: Stock, capacity: int, waste: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """A packing that leaves at most `waste` free in all, or None if the nodes run out or there is none among the fillings kept."""
+    stock.present |= 1  # the end of every look-up
+    path: list[tuple[list[list[int]], int, int]] = []  # fillings of each bin yet to be tried, the one in use, waste before the bin
+    bins: list[list[int]] = []
+    given = nodes
+
+    def back() -> bool:
+        """Undo bins until one has another filling, and use that."""
+        nonlocal waste
+        while path:
+            ways, at, before = path.pop()
+            own = bins.pop()
+            for n in own[1:]:
+                stock.give(n)
+            if at + 1 < len(ways):
+                use(own[0], ways, at + 1, before)
+                return True
+            stock.give(own[0])
+            waste = before
+        return False
+
+    def use(n: int, ways: list[list[int]], at: int, before: int) -> None:
+        nonlocal waste
+        for m in ways[at]:
+            stock.take(m)
+        bins.append([n, *ways[at]])
+        path.append((ways, at, before))
+        waste = before - (capacity - n - sum(ways[at]))
+
+    while n := stock.at_most(capacity):
+        if nodes <= 0:
+            return None, given
+        stock.take(n)
+        ways, used = fillings(stock, capacity - n, waste, min(FILLING, nodes)) if n < capacity else ([[]], 1)
+        nodes -= used + 1
+        if ways:
+            use(n, ways, 0, waste)
+            continue
+        stock.give(n)
+        if not back():
+            return None, given - nodes
+    return bins, given - nodes
 
 
 def pack(sizes: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece; pieces are 1 to capacity long."""
     sizes = np.asarray(sizes, np.int64)
     bins = complete(sizes, capacity)
-    if len(sizes) <= SMALL and len(bins) > -(-int(sizes.sum()) // capacity):
-        bins = search_bins(sizes.tolist(), capacity, bins)
     # deal pieces of each length to the places that ask for it
     order = np.argsort(sizes, kind="stable")
     places = np.array([(n, b, o) for b, own in enumerate(bins) for n, o in zip(own, np.cumsum([0, *own[:-1]]).tolist(), strict=True)], np.int64).reshape(-1, 3)
@@ -198,12 +258,16 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.specials = re.compile(b"|".join(re.escape(t.encode()) for t in self.special) or b"(?!)")
         self.table = WordTable(self.learn, 500_000)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin."""
         data, offsets = raw(column)
-        return self.table.encode(LOWER[data], offsets, marks=b".,")
+        low = LOWER[data]
+        for found in self.specials.finditer(low):  # only lower-casing makes some of these special: those stay as they are
+            low[found.start() : found.end()] = data[found.start() : found.end()]
+        return self.table.encode(low, offsets, marks=b".,")
 
     def learn(self, fresh: list[str]) -> list[bytes]:
         """Ids of chunks as little-endian unsigned 32-bit numbers."""

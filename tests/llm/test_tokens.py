@@ -86,6 +86,18 @@ def test_packing_ids_are_the_library():
         assert ids[a:b].tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_ids_with_special_strings_in_any_case():
+    from tokenizers import Tokenizer
+
+    own, lib = packing.load(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    some = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|EndOfText|>x", "A<|endofText|>", " ", "\n", "it's", "<", "|>", "É", "Word"]
+    text = ["".join(rng.choice(some) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    ids, begin = own.encode(pa.array(text))
+    for t, a, b in zip(text, begin[:-1], begin[1:], strict=True):
+        assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_word_table_starts_again_when_full():
     table = word_table.WordTable(lambda words: [np.array([len(w), ord(w[0])], "<u4").tobytes() for w in words], at_most=50)
     for n in range(6):
@@ -115,11 +127,33 @@ def test_pack_is_whole_and_best_on_small_blocks():
     assert packing.pack(np.zeros(0, np.int64))[0].tolist() == []
 
 
-def test_pack_large_block_is_near_its_bound():
+def whole(bins, sizes, capacity):
+    assert sorted(n for b in bins for n in b) == sorted(sizes.tolist()) and all(sum(b) <= capacity for b in bins)
+    return len(bins)
+
+
+def test_bins_are_never_more_than_by_best_fit():
     rng = np.random.default_rng(0)
-    sizes = np.minimum(4096, (rng.exponential(900, 20_000) + 1).astype(int))
-    where, _ = packing.pack(sizes)
-    assert where.max() + 1 <= -(-sizes.sum() // 4096) + 2
+    shapes = [
+        rng.integers(1, 60, 3_000), rng.integers(1_200, 1_700, 5_000), rng.integers(900, 2_100, 4_000), np.minimum(4096, rng.exponential(900, 20_000).astype(int) + 1), np.ones(9_000, int), np.full(500, 4096),
+        rng.integers(1_300, 1_400, 700), np.concatenate([rng.integers(2_040, 2_060, 400), rng.integers(1, 30, 50)]),
+    ]
+    for sizes in shapes:
+        counts = np.bincount(sizes, minlength=4097)
+        plain, bound = whole(packing.best_fit(counts, 4096), sizes, 4096), packing.least_bins(counts, 4096)
+        n = whole(packing.complete(sizes, 4096), sizes, 4096)
+        assert max(bound, -(-int(sizes.sum()) // 4096)) <= n <= plain
+    for seed in range(40):  # bounds hold, and search beats best fit where that isn't best
+        small = np.random.default_rng(seed).integers(20, 60, 30)
+        counts = np.bincount(small, minlength=101)
+        n = whole(packing.complete(small, 100), small, 100)
+        assert packing.least_bins(counts, 100) <= n <= len(packing.best_fit(counts, 100))
+
+
+def test_dominated_fillings():
+    present = 1 << 50 | 1 << 30
+    assert packing.dominated([20, 30], 0, present) and packing.dominated([48], 2, present) and not packing.dominated([48], 1, present)
+    assert not packing.dominated([50], 0, present) and not packing.dominated([60], 5, present)
 
 
 def test_pack_documents(spark):
