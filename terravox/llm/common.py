@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Groups that may be broadcast because they are large: there are fewer than HOT with more than one HOT-th of all rows.
+HOT = 1_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -56,6 +60,21 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df._terravox_path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], members: str, total: int, salt: F.Column, lonely: F.Column | None = None) -> DataFrame:
+    """rows left join groups (one row a key, with its number of members) without a task for any one large group.
+
+    Fewer than HOT groups can have more than total / HOT members: these are broadcast, whatever the size of the tables.
+    Rows that meet one are dealt by `salt` in the shuffle join with the other groups, which have total / HOT members at
+    most. `lonely` rows are known to meet no group and are dealt by `salt` too. Null keys match nothing."""
+    own = [c for c in groups.columns if c not in key]
+    large = groups.where(F.col(members) * HOT > total).select(*key, F.lit(True).alias("_large"), *(F.col(c).alias(f"_{c}") for c in own))
+    small = groups.where(F.col(members) * HOT <= total).withColumn("_salt", F.lit(0))
+    spread = F.coalesce("_large", F.lit(False)) if lonely is None else F.coalesce("_large", lonely)
+    met = rows.join(F.broadcast(large), key, "left").withColumn("_salt", F.when(spread, 1 + F.pmod(salt, F.lit(HOT))).otherwise(0).cast("int"))
+    both = met.join(small, [*key, "_salt"], "left").withColumns({c: F.coalesce(c, f"_{c}") for c in own})
+    return both.select(*rows.columns, *own)
+
+
 def texts(column: pa.Array) -> pa.Array:
     """A string column as large strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):

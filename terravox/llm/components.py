@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, join_groups, written
 
 
 #: Edges that are contracted together before a step.
@@ -47,14 +47,17 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def _step(edges: DataFrame) -> DataFrame:
-    """A large and a small star over edges (u, v) with u > v: hang neighbours on the smallest node of a neighbourhood."""
+def _step(edges: DataFrame, n: int) -> DataFrame:
+    """A large and a small star over n edges (u, v) with u > v: hang neighbours on the smallest node of a neighbourhood.
+
+    A node with a large share of all edges isn't one task's: its smallest neighbour is broadcast."""
     edges = edges.mapInArrow(_contracted, "u long, v long")
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    hung = lambda rows, least: join_groups(rows, least, ["u"], "degree", 2 * n, F.xxhash64("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    large = hung(both, least).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    small = hung(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return small.where("u > v").distinct()
 
 
@@ -76,7 +79,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        step, after = _written(_step(now))
+        step, after = _written(_step(now, before[0]))
         drop(now)
         now = step
         if after == before:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, ids_of, slices, texts
+from .common import LOWER_BYTES, ids_of, join_groups, slices, texts, written
 
 
 class Node:
@@ -185,24 +185,37 @@ def owners(docs: DataFrame, largest: bool = True) -> DataFrame:
     return ordered.mapInArrow(_merged(largest), "text_sha256 string, keep_id long, group_size long")
 
 
-def digest(text: str = "text") -> F.Column:
+def digest(text: str | F.Column = "text") -> F.Column:
     """SHA-256 of the normalised text, on the JVM: translate() lower-cases A-Z only."""
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lower = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.sha2(lower.cast("binary"), 256)
 
 
 def exact_dedup(docs: DataFrame, largest: bool = True) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null texts are empty texts and equal to them. Of equal texts the largest doc_id is kept (the smallest with
+    Null texts are empty texts and equal to them; texts are compared whole, and a task holds 24 MB of them or the longest one. Of equal texts the largest doc_id is kept (the smallest with
     largest=False). Repeated rows with one doc_id and text each count and share their verdict. Rows without a doc_id
     count, but are kept only where the whole group has none. Empty tables give no rows; other columns are ignored.
     """
-    mine = docs.select("doc_id", digest().alias("text_sha256"))
-    return mine.join(owners(docs, largest), "text_sha256", "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return _verdicts(docs.select("doc_id", digest().alias("text_sha256")), docs, largest)
+
+
+def _verdicts(mine: DataFrame, docs: DataFrame, largest: bool) -> DataFrame:
+    """mine(doc_id, text_sha256) with the verdicts: only texts that several rows share are joined."""
+    found = written(owners(docs, largest), "owners")
+    shared = found.where("group_size > 1")
+    total = found.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    out = join_groups(mine, shared, ["text_sha256"], "group_size", total, F.xxhash64("doc_id"))
+    alone = F.col("group_size").isNull()
+    keep, size = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
+    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_owners(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of docs, all columns, that own their text. Rows without a doc_id stay; repeated rows of an owner stay too."""
-    gone = exact_dedup(docs, largest).where("doc_id is not null and not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that own their text.
+
+    Rows without a doc_id stay; repeated rows of an owner stay too. A doc_id with several texts is judged for each of
+    them. Null texts are empty ones; an empty table stays one. Columns may have any names."""
+    gone = exact_dedup(docs, largest).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("_gone_id")) & (digest(docs["text"]) == F.col("_gone_sha")), "left_anti")

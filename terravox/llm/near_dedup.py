@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_of, mix, randoms, raw, slices, written
+from .common import ids_of, join_groups, mix, randoms, raw, slices, written
 from .components import components
 from .id_filter import thinned
 from .words import shingles, words
@@ -48,7 +48,7 @@ def sketch_limit(similarity: float) -> int:
     return int(np.ceil(SKETCH * differ + 4.5 * np.sqrt(SKETCH * differ * (1 - differ))))
 
 
-_SIGNED = "doc_id long, n_shingles long, set1 long, set2 long, signature binary, sketch1 long, sketch2 long"
+_SIGNED = "doc_id long, body long, n_shingles long, set1 long, set2 long, signature binary, sketch1 long, sketch2 long"
 _FACTORS = (randoms(2 * TREES * DEPTH, 23) >> np.uint64(32)).astype(np.uint32)
 _FACTORS[::2] |= np.uint32(1)
 
@@ -80,7 +80,7 @@ def _signed(k: int):
                 if len(full):
                     signature[full], sums[full], bits[full] = signatures([sets[i] for i in full.tolist()])
                 cells = pa.array([r.tobytes() for r in signature], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids_of(part), pa.array(n), *(pa.array(sums[:, i].view(np.int64)) for i in (0, 1)), cells, *(pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in (0, 1))], ["doc_id", "n_shingles", "set1", "set2", "signature", "sketch1", "sketch2"])
+                yield pa.RecordBatch.from_arrays([ids_of(part), ids_of(part, "body"), pa.array(n), *(pa.array(sums[:, i].view(np.int64)) for i in (0, 1)), cells, *(pa.array(np.ascontiguousarray(bits[:, i]).view(np.int64)) for i in (0, 1))], ["doc_id", "body", "n_shingles", "set1", "set2", "signature", "sketch1", "sketch2"])
 
     return run
 
@@ -348,25 +348,45 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
 
     Texts are linked if 100 * intersection >= similarity * union of their k-word shingle sets; component_id is the
     smallest doc_id that links reach, kept says whether it is the row's own. Null, empty and wordless texts have no
-    shingles and no links; texts of fewer than k words have one shingle, all their words. A doc_id names one document:
-    repeated rows share their verdict. Rows without a doc_id are linked with nothing: component_id is null and they
-    are kept. Empty tables give no rows.
+    shingles and no links; texts of fewer than k words have one shingle, all their words. Texts are read whole (about
+    40 times a text's bytes at once). Repeated rows share their verdict; a doc_id with several texts has a verdict for
+    each of them, and doesn't link one text's family with another's. Rows without a doc_id are linked with nothing:
+    component_id is null and they are kept. Empty tables give no rows. Columns may have any names.
     """
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return _classes(docs, k, similarity).drop("body")
+
+
+def _named(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """rows(doc_id, body, ...) with a name for each document: its doc_id, or a hash with its text where a doc_id has several texts."""
+    if repeated is None:
+        return rows.withColumn("name", F.col("doc_id"))
+    marked = rows.join(repeated.withColumn("_several", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("name", F.when(F.col("_several"), F.xxhash64("doc_id", "body")).otherwise(F.col("doc_id"))).drop("_several")
+
+
+def _classes(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """classes() with the text's 64-bit hash as body."""
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("body"), docs["text"].alias("text"))
     signed = written(own.mapInArrow(_signed(k), _SIGNED), "signed")
+    texts = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    repeated = written(texts.where("low <> high").select("doc_id"), "repeated")
+    repeated = None if repeated.isEmpty() else repeated
+    own, signed = _named(own, repeated), _named(signed, repeated)
+
     real = signed.where("n_shingles > 0 and doc_id is not null")
     key = ["n_shingles", "set1", "set2"]
-    groups = real.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    groups = written(groups, "sets")
-    first = groups.select(F.col("node").alias("doc_id"), *key)
-    nodes = real.join(first, ["doc_id", *key], "left_semi").select(F.col("doc_id").alias("node"), "signature", "sketch1", "sketch2").dropDuplicates(["node"])
+    groups = written(real.groupBy(*key).agg(F.min("name").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("members")), "sets")
+    first = groups.select(F.col("node").alias("name"), *key)
+    nodes = real.join(first, ["name", *key], "left_semi").select(F.col("name").alias("node"), "signature", "sketch1", "sketch2").dropDuplicates(["node"])
     nodes = written(nodes, "nodes")
     pairs, crowded = forest(nodes, similarity / 100)
     pairs = written(pairs, "pairs")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded.select("node")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("name")).union(crowded.select("node")).distinct()
     ids = written(ids, "ids")
-    bodies = written(thinned(own, "doc_id", ids).join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text")), "bodies")
+    # of repeated rows one is enough
+    bodies = thinned(own.select("name", "text"), "name", ids).join(ids, "name", "left_semi").select(F.col("name").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    bodies = written(bodies, "bodies")
     some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     joined = components(confirmed(some, bodies, k, similarity))
     left, right = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -376,13 +396,21 @@ def classes(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     joined = components(joined.union(confirmed(rest, bodies, k, similarity)))
     whole = components(joined.union(across(crowded, joined, bodies, k, similarity)))
 
-    found = groups.join(whole, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", *key).join(found, key, "left")
+    found = groups.join(whole, "node", "left").select(*key, "least", "members", F.coalesce("component", "node").alias("component_id"))
+    if repeated is not None:  # names aren't identifiers: the smallest of these in a component
+        least = found.groupBy("component_id").agg(F.min("least").alias("smallest"))
+        found = found.join(least, "component_id").select(*key, "members", F.col("smallest").alias("component_id"))
+    found = found.select(*key, "members", "component_id")
+    total = groups.agg(F.sum("members").alias("n")).first()["n"] or 0
+    out = join_groups(signed.select("doc_id", "body", *key), found, key, "members", total, F.xxhash64("doc_id", "body"), F.col("n_shingles") == 0)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "body", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first_of_each(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their component."""
-    gone = classes(docs, k, similarity).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that are the smallest doc_id of their component.
+
+    Rows without a doc_id or without words stay, and so do all repeated rows of a document that stays; a doc_id with
+    several texts is judged for each of them. An empty table stays one. Columns may have any names."""
+    gone = _classes(docs, k, similarity).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("body").alias("_gone_body")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_gone_body")), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 
 
 def byte_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, rows_per_partition: int = 500_000) -> DataFrame:
@@ -21,7 +21,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, rows
     size is the UTF-8 bytes of the text plus 1 (a null text has none). Shards 0..n-1 are contiguous in the order
     above, slot counts from 0 without gaps in each, law is `bytes` and grown_shard null. Repeated rows each get a
     slot of their own, rows without a doc_id come first; an empty table gives no rows. With fewer rows than shards,
-    some shards stay empty.
+    some shards stay empty. Texts may be of any length; other columns are ignored, whatever their names.
     """
     own = docs.select(
         "doc_id",
@@ -32,9 +32,11 @@ def byte_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, rows
     own = written(own, "shard-rows")
     key = ["text_hash", "text_crc32", "size"]
     groups = own.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.count("*").alias("members"))
-    shared = groups.where("members > 1").select(*key, F.col("owner").alias("group_owner"))
-    keyed = own.join(shared, key, "left").select("doc_id", "size", "text_crc32", F.coalesce("group_owner", "doc_id").alias("owner"))
-    parts = max(1, -(-own.count() // rows_per_partition))
+    shared = groups.where("members > 1").select(*key, F.col("owner").alias("group_owner"), "members")
+    total = own.count()
+    keyed = join_groups(own, shared, key, "members", total, F.xxhash64("doc_id"))
+    keyed = keyed.select("doc_id", "size", "text_crc32", F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("group_owner")).alias("owner"))
+    parts = max(1, -(-total // rows_per_partition))
     ordered = keyed.repartitionByRange(parts, F.col("owner").asc_nulls_first(), F.col("doc_id").asc_nulls_first())
     # the partition number and place are fixed here once; every later pass reads them from the shared folder
     placed = ordered.sortWithinPartitions(F.col("owner").asc_nulls_first(), F.col("doc_id").asc_nulls_first())

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from terravox.llm import exact_dedup, near_dedup, words
+from terravox.llm import common, exact_dedup, near_dedup, words
 from terravox.llm.components import components
 
 from . import helpers
@@ -125,6 +125,35 @@ def test_near_dedup_of_nothing(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r[3] for r in brute_near(docs.collect(), 5))
 
 
+def several_texts(spark):
+    """A doc_id with several texts, repeated rows, and a third of all rows equal."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "x"), (1, "unique"), (2, "X"), (3, long), (1, long + " tail"), (4, "other " + long.replace("w", "v")), (1, "other " + long.replace("w", "v") + " end"), (4, "other " + long.replace("w", "v"))]
+    return spark.createDataFrame(rows + [(100 + i, "copy of it all") for i in range(4)], "doc_id long, text string")
+
+
+def test_a_doc_id_with_several_texts(spark):
+    docs = several_texts(spark)
+    assert sorted(map(tuple, exact_dedup.keep_owners(docs).collect()), key=str) == sorted([tuple(r) for r in docs.collect() if tuple(r) not in [(1, "x"), *((i, "copy of it all") for i in (100, 101, 102))]], key=str)
+    sets = [(r.doc_id, r.text, shingle_set(r.text, 2)) for r in docs.collect()]
+    comp = helpers.components({n: s for n, (*_, s) in enumerate(sets)})
+    least = {c: min(sets[n][0] for n in comp if comp[n] == c) for c in comp.values()}
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.classes(docs, 2).collect())
+    assert got == sorted((i, len(s), least[comp[n]], i == least[comp[n]]) for n, (i, _, s) in enumerate(sets))
+    kept = sorted(map(tuple, near_dedup.keep_first_of_each(docs, 2).collect()))
+    assert kept == sorted((i, t) for n, (i, t, _) in enumerate(sets) if i == least[comp[n]])
+
+
+def test_large_groups_are_joined_like_others(spark, monkeypatch):
+    """Hot groups go by broadcast: same result with a bound that makes all of them hot, some, or none."""
+    docs = spark.createDataFrame([(i, ["hot", "HOT", None][i % 3] if i < 600 else f"t{i // 3}") for i in range(1000)], "doc_id long, text string")
+    for hot in (1, 5, 1000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()), key=str) == brute_exact(docs.collect())
+        star = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(500, 501)], "a long, b long")
+        assert {r.node: r.component for r in components(star).collect()} == {**{i: 0 for i in range(1, 400)}, 501: 500}
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(8)
     chain = [(i, i + 1) for i in range(300)]
