@@ -1,11 +1,13 @@
 """Nearest neighbours by largest inner product: a block matrix join over int8 tiles.
 
-Vectors are packed into blocks: a block is one row with the float matrix, its int8 codes and each vector's scale.
-Query blocks meet candidate blocks on the query block's number, a tile each. In a tile the int8 codes are multiplied
-as a matrix; with a scale and a bound on what rounding took from each vector, that product gives an upper and a lower
-bound of every inner product. Pairs whose upper bound is below the query's k-th best lower bound so far can't be
-among its nearest; the rest are recomputed in double precision from the original floats and merged in a heap for
-each query, which is carried from tile to tile. What leaves a task is k rows a query; a second merge joins tasks.
+Vectors are packed into blocks: a block is one row with the identifiers and the matrix of its vectors, in the type of
+the column. A group of query blocks meets a stripe of candidate blocks in one task, which keeps the queries and goes
+through the stripe block by block; so a candidate is shipped once for every GROUP * QUERY_BLOCK queries. In a tile both
+sides are rounded to int8 codes with a scale for each vector, and the codes are multiplied as a matrix; with the scales
+and the norms of what rounding took, that product gives an upper and a lower bound of every inner product. Pairs whose
+upper bound is below the query's k-th best lower bound so far can't be among its nearest; the rest are recomputed in
+double precision from the original vectors and merged in a heap for each query, which is carried from tile to tile.
+What leaves a task is k rows a query; a window by score merges tasks.
 """
 
 from __future__ import annotations
@@ -14,17 +16,16 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Queries and candidates in a block, and candidate blocks that one task goes through for a query block.
-QUERY_BLOCK, BLOCK, TILES = 512, 4096, 32
+#: Queries and candidates in a block, query blocks in a group, and candidate blocks that one task goes through for a group.
+QUERY_BLOCK, BLOCK, GROUP, TILES = 512, 4096, 16, 32
 
-_BLOCK = "block long, dim int, ids binary, floats binary"
+_BLOCK = "block long, dim int, ids binary, numbers binary"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,14 +45,16 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _packed(size: int):
+def _packed(size: int, kind: str):
+    """kind: numpy type of the numbers, float32 or float64."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, rows = 0, [], []
 
         def block():
             nonlocal number
-            x = np.array(rows, np.float32)
-            out = pa.RecordBatch.from_pylist([{"block": number, "dim": x.shape[1], "ids": np.array(ids, np.int64).tobytes(), "floats": x.tobytes()}], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("floats", pa.binary())]))
+            x = np.array(rows, kind)
+            out = pa.RecordBatch.from_pylist([{"block": number, "dim": x.shape[1], "ids": np.array(ids, np.int64).tobytes(), "numbers": x.tobytes()}], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("numbers", pa.binary())]))
             number += 1
             ids.clear(), rows.clear()
             return out
@@ -76,40 +79,52 @@ def usable(vectors: DataFrame, column: str = "embedding") -> F.Column:
     return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda v: v != 0), F.lit(False))
 
 
-def blocks(vectors: DataFrame, ident: str, column: str, size: int, name: str) -> DataFrame:
+def one_of_each(vectors: DataFrame, ident: str, column: str) -> DataFrame:
+    """vectors(ident, column) with one row for each id: of several that with the smallest vector in order of its components."""
+    repeated = written(vectors.groupBy(ident).agg(F.count("*").alias("n")).where("n > 1").select(ident), "ann-repeated")
+    if repeated.isEmpty():
+        return vectors
+    several = vectors.join(repeated, ident, "left_semi").groupBy(ident).agg(F.min(column).alias(column))
+    return vectors.join(repeated, ident, "left_anti").union(several)
+
+
+def blocks(vectors: DataFrame, ident: str, column: str, size: int, kind: str, name: str) -> DataFrame:
     """Packed blocks of at most `size` vectors of one length, numbered from 0 through the whole table."""
-    packed = vectors.select(ident, column).mapInArrow(_packed(size), _BLOCK)
+    packed = vectors.select(ident, column).mapInArrow(_packed(size, kind), _BLOCK)
     kept = written(packed.withColumn("part", F.spark_partition_id()), name)
     # a running count over one row a partition gives the numbers
     counts = kept.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("before"))
-    return kept.join(F.broadcast(before), "part").select((F.col("block") + F.col("before")).alias("block"), "dim", "ids", "floats")
+    return kept.join(F.broadcast(before), "part").select((F.col("block") + F.col("before")).alias("block"), "dim", "ids", "numbers")
 
 
 class Nearest:
     """For each query of a block, the k best (score, -id) as a heap."""
 
-    def __init__(self, ids: np.ndarray, floats: np.ndarray, k: int) -> None:
-        self.ids, self.floats, self.k, self.heaps = ids, floats, k, [[] for _ in ids]
-        self.code, self.scale, self.norm, self.rest = quantise(floats)
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, k: int) -> None:
+        self.ids, self.numbers, self.k, self.heaps = ids, numbers, k, [[] for _ in ids]
+        self.code, self.scale, self.norm, self.rest = quantise(numbers)
 
-    def tile(self, ids: np.ndarray, floats: np.ndarray) -> None:
-        code, scale, norm, rest = quantise(floats)
+    def tile(self, ids: np.ndarray, numbers: np.ndarray, quantised: tuple[np.ndarray, ...]) -> None:
+        code, scale, norm, rest = quantised
         # float32 holds products of int8 sums exactly up to 2^24; wider vectors are multiplied in double
-        wide = np.float32 if floats.shape[1] * 127 * 127 < 1 << 24 else np.float64
-        near = (self.code.astype(wide) @ code.astype(wide).T) * self.scale[:, None] * scale[None, :]
-        # |q.x - near| <= |q'| |rx| + |rq| |x'| + |rq| |rx|; a little more for rounding here
-        slack = (self.norm[:, None] * rest[None, :] + self.rest[:, None] * (norm + rest)[None, :]) * (1 + 1e-9) + 1e-12
-        upper, lower = near + slack, near - slack
+        wide = np.float32 if numbers.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (self.code.astype(wide) @ code.astype(wide).T) * self.scale[:, None] * scale[None, :]
+            # |q.x - near| <= |q'| |rx| + |rq| |x'| + |rq| |rx|; a little more for rounding here
+            slack = (self.norm[:, None] * rest[None, :] + self.rest[:, None] * (norm + rest)[None, :]) * (1 + 1e-9) + 1e-12
+            upper, lower = near + slack, near - slack
+        # numbers near the end of what double holds: nothing is known of such a pair but by its product
+        upper[np.isnan(upper)], lower[np.isnan(lower)] = np.inf, -np.inf
         own = self.ids[:, None] == ids[None, :]
         upper[own], lower[own] = -np.inf, -np.inf
         at_least = np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.heaps])
         if lower.shape[1] >= self.k:
             at_least = np.maximum(at_least, np.partition(lower, -self.k, axis=1)[:, -self.k])
-        q, c = np.nonzero((upper >= at_least[:, None]) & (upper > -np.inf))
+        q, c = np.nonzero((upper >= at_least[:, None]) & ~own)
         for start in range(0, len(q), 1 << 16):
             qs, cs = q[start : start + (1 << 16)], c[start : start + (1 << 16)]
-            for i, ident, score in zip(qs.tolist(), ids[cs].tolist(), exact_products(self.floats[qs], floats[cs]).tolist(), strict=True):
+            for i, ident, score in zip(qs.tolist(), ids[cs].tolist(), exact_products(self.numbers[qs], numbers[cs]).tolist(), strict=True):
                 self.add(i, score, ident)
 
     def add(self, i: int, score: float, ident: int) -> None:
@@ -119,45 +134,30 @@ class Nearest:
         elif (score, -ident) > heap[0]:
             heapq.heapreplace(heap, (score, -ident))
 
-    def rows(self) -> pd.DataFrame:
-        found = [(q, n, -i, s) for q, h in zip(self.ids.tolist(), self.heaps, strict=True) for n, (s, i) in enumerate(sorted(h, reverse=True), 1)]
-        return pd.DataFrame(found, columns=["query_id", "rank", "vec_id", "score"]).astype({"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"})
+    def rows(self) -> pa.RecordBatch:
+        found = [(q, -i, s) for q, h in zip(self.ids.tolist(), self.heaps, strict=True) for s, i in h]
+        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
 
-def _tiles(k: int):
-    """Over rows sorted by (q_block, stripe, kind, block): a stripe's query block comes first, then its candidate blocks."""
+def _tiles(k: int, kind: str):
+    """Over rows sorted by (group, stripe, dim, side, block): the query blocks of a group (side 0), then a stripe's candidate blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        key, asked = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                at, kind, dim, ids, floats = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(4)[i].as_py()), *(batch.column(c)[i].as_py() for c in (2, 4, 5, 6)))
-                ids, floats = np.frombuffer(ids, np.int64), np.frombuffer(floats, np.float32).reshape(-1, dim)
-                if at != key:
-                    if state is not None:
-                        yield pa.RecordBatch.from_pandas(state.rows(), preserve_index=False)
-                    key, state = at, None
-                if kind == 0:
-                    state = Nearest(ids, floats, k)
-                elif state is not None:  # no query block of this length otherwise
-                    state.tile(ids, floats)
-        if state is not None:
-            yield pa.RecordBatch.from_pandas(state.rows(), preserve_index=False)
-
-    return run
-
-
-def _merge(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, list] = {}
-        for q, i, s in zip(pdf.query_id.tolist(), pdf.vec_id.tolist(), pdf.score.tolist(), strict=True):
-            heap = state.setdefault(q, [])
-            if len(heap) < k:
-                heapq.heappush(heap, (s, -i))
-            elif (s, -i) > heap[0]:
-                heapq.heapreplace(heap, (s, -i))
-        found = [(q, n, -i, s) for q, h in state.items() for n, (s, i) in enumerate(sorted(h, reverse=True), 1)]
-        return pd.DataFrame(found, columns=["query_id", "rank", "vec_id", "score"]).astype({"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"})
+                group, stripe, side, _, dim, ids, numbers = (batch.column(c)[i].as_py() for c in range(7))
+                ids, numbers = np.frombuffer(ids, np.int64), np.frombuffer(numbers, kind).reshape(-1, dim)
+                if (group, stripe, dim) != key:
+                    yield from (own.rows() for own in asked)
+                    key, asked = (group, stripe, dim), []
+                if side == 0:
+                    asked.append(Nearest(ids, numbers, k))
+                elif asked:  # no query of this length otherwise
+                    quantised = quantise(numbers)
+                    for own in asked:
+                        own.tile(ids, numbers, quantised)
+        yield from (own.rows() for own in asked)
 
     return run
 
@@ -167,19 +167,25 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, k: int = 20, id
 
     queries: which rows are queries (here: id divisible by 20); all usable rows but the query's own are candidates.
     Ties go to the smaller vec_id. Null, empty or zero vectors, vectors with null or non-finite components and rows
-    without an id take no part. Vectors only meet those of their own length. Repeated ids are taken as one row each,
-    none of them a candidate of its own id. An empty table gives no rows.
+    without an id take no part. Vectors only meet those of their own length. Of rows with the same id one takes part,
+    that with the smallest vector in order of its components. Doubles are taken as they are, other numbers as float32
+    holds them. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     queries = F.col(ident) % 20 == 0 if queries is None else queries
-    good = vectors.select(F.col(ident).cast("long").alias(ident), F.col(column).cast("array<float>").alias(column)).where(F.col(ident).isNotNull() & usable(vectors, column))
-    asked = blocks(good.where(queries), ident, column, QUERY_BLOCK, "ann-queries")
-    mine = blocks(good, ident, column, BLOCK, "ann-vectors").withColumn("stripe", F.floor(F.col("block") / TILES))
-    n_asked, n_stripes = asked.count(), -(-mine.count() // TILES)
+    kind, stored = ("float64", "array<double>") if vectors.schema[column].dataType.elementType.simpleString() == "double" else ("float32", "array<float>")
+    good = vectors.select(F.col(ident).cast("long").alias(ident), F.col(column).cast(stored).alias(column), queries.alias("_asked"))
+    asking = F.col("_asked")
+    good = good.where(F.col(ident).isNotNull() & usable(vectors, column))
+    once = one_of_each(good.select(ident, F.struct(column, "_asked").alias("_own")), ident, "_own").select(ident, f"_own.{column}", "_own._asked")
+    mine = blocks(once, ident, column, BLOCK, kind, "ann-vectors").withColumn("stripe", F.floor(F.col("block") / TILES))
+    asked = blocks(once.where(asking), ident, column, QUERY_BLOCK, kind, "ann-queries").withColumn("group", F.floor(F.col("block") / GROUP))
+    n_groups, n_stripes = -(-asked.count() // GROUP), -(-mine.count() // TILES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<long>"))
-    # each query block goes to each stripe once, each candidate block to each query block once: the tiles of the product
-    columns = ["q_block", "stripe", "kind", "block", "dim", "ids", "floats"]
-    left = asked.select(F.col("block").alias("q_block"), every(n_stripes).alias("stripe"), F.lit(0).alias("kind"), "block", "dim", "ids", "floats")
-    right = mine.select(every(n_asked).alias("q_block"), "stripe", F.lit(1).alias("kind"), "block", "dim", "ids", "floats")
-    tiles = left.union(right).select(columns).repartition("q_block", "stripe").sortWithinPartitions("q_block", "stripe", "dim", "kind", "block")
-    best = tiles.mapInArrow(_tiles(k), "query_id long, rank int, vec_id long, score double")
-    return best.groupBy("query_id").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")
+    # each query block goes to each stripe once, each candidate block to each group once: the tiles of the product
+    columns = ["group", "stripe", "side", "block", "dim", "ids", "numbers"]
+    left = asked.select("group", every(n_stripes).alias("stripe"), F.lit(0).alias("side"), "block", "dim", "ids", "numbers")
+    right = mine.select(every(n_groups).alias("group"), "stripe", F.lit(1).alias("side"), "block", "dim", "ids", "numbers")
+    tiles = left.union(right).select(columns).repartition("group", "stripe").sortWithinPartitions("group", "stripe", "dim", "side", "block")
+    best = tiles.mapInArrow(_tiles(k, kind), "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

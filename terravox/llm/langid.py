@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, ids_of, mix, raw, slices
+from .common import LOWER, ids_of, mix, raw, slices, written
 from .quality import in_fold
 
-#: Bounds of the fit: teaching rows of a language, bytes of a text that teaches whole, teaching rows of all languages, and rows of each that this leaves at least.
-SAMPLE, LONGEST, TEACHING, LEAST = 500, 8_000, 32_000, 20
+#: Bounds of the fit: teaching rows of a language, of all languages, and rows of each that this leaves at least. All texts teach and are predicted whole.
+SAMPLE, TEACHING, LEAST = 500, 32_000, 20
 #: n-gram length in bytes, share of a language's texts that have an n-gram before it is taken in, words of the array, and hash functions.
 N, COMMON, WORDS, HASHES = 5, 0.05, 1 << 18, 3
 
@@ -89,38 +89,44 @@ class LanguageFilters:
         return pa.array(found.tolist(), pa.string()), np.where(letters, share, 0.0)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> LanguageFilters | None:
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct n-grams, one a row."""
+    for batch in batches:
+        for part in slices(batch):
+            gram, row = ngrams(*raw(ids_of(part, "text")))
+            both = np.unique(np.stack([row.astype(np.uint64), gram], axis=1), axis=0) if len(gram) else np.zeros((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([ids_of(part, "lang").take(pa.array(both[:, 0].astype(np.int64))), pa.array(both[:, 1].view(np.int64))], ["lang", "gram"])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageFilters | None:
     """Filters from at most `sample` rows of each language outside the held-out fold; None if there are none.
 
-    Every value of lang outside that fold is learned; with many of them each has fewer rows, TEACHING together but LEAST
-    at least. Of each the rows with the smallest hash of their id teach; texts over `longest` bytes only where shorter
-    ones are too few, by their first longest / 4 characters."""
+    Every value of lang outside that fold is learned, from whole texts; with many of them each has fewer rows, TEACHING
+    together but LEAST at least. Of each the doc_ids with the smallest hash teach, once each. An n-gram is taken in
+    if COMMON of the language's texts have it, so there are at most 1 / COMMON times as many as a text has on average."""
     teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 0))
-    teach = teach.withColumn("long", F.octet_length(F.coalesce("text", F.lit(""))) > longest)
-    hashed = teach.select("doc_id", "lang", "long", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
-    counts = hashed.groupBy("lang").agg(F.count_if(~F.col("long")).alias("shorts"), F.count_if("long").alias("longs"))
-    many = hashed.select("lang").distinct().count()
+    hashed = teach.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids"))
+    many = counts.count()
     sample = min(sample, max(LEAST, TEACHING // max(1, many)))
     # a threshold on the hash thins each language to little more than the bound before rows meet in a window
-    at_most = lambda room, n: F.least(F.lit(1.0), (room * 1.5 + 50) / F.col(n))
-    extra = F.when(F.col("shorts") < sample, at_most(sample - F.col("shorts"), "longs")).otherwise(0.0)
-    share = F.when(F.col("long"), extra).otherwise(at_most(F.lit(sample), "shorts"))
-    thin = hashed.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    chosen = thin.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).where(F.col("place") <= sample).select("doc_id")
-    # `sample` ids and sample * longest bytes for each language
-    text = F.when(F.col("long"), F.substring("text", 1, longest // 4)).otherwise(F.col("text")).alias("text")
-    rows = teach.select("doc_id", "lang", text).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
+    share = F.least(F.lit(1.0), (F.lit(sample) * 1.5 + 50) / F.col("ids"))
+    counts = F.broadcast(counts) if many <= TEACHING else counts
+    thin = hashed.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "doc_id", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = thin.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", "lang")
+    # at most `sample` rows a language; of several texts of a doc_id that with the smallest hash teaches
+    rows = teach.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
+    rows = written(rows, "teaching")
+    taught = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not taught:
         return None
-    lang = np.array(rows["lang"].to_pylist(), object)
-    languages, grams = sorted(set(lang)), []
-    for name in languages:
-        own = rows["text"].combine_chunks().filter(pa.array(lang == name))
-        gram, row = ngrams(*raw(own))
-        there = np.unique(np.stack([gram, row.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(gram) else gram
-        value, often = np.unique(there, return_counts=True)
-        grams.append(value[often >= max(1, COMMON * len(own))])
-    return LanguageFilters(languages, grams)
+    often = rows.mapInArrow(_grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("often"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("texts"))
+    found = often.join(F.broadcast(sizes), "lang").where(F.col("often") >= F.greatest(F.lit(1.0), F.col("texts") * COMMON)).select("lang", "gram").toArrow()
+    languages = sorted(taught)
+    lang, gram = found["lang"].to_numpy(zero_copy_only=False), found["gram"].to_numpy().view(np.uint64)
+    return LanguageFilters(languages, [gram[lang == name] for name in languages])
 
 
 def predict_part(filters: LanguageFilters | None, part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -133,8 +139,9 @@ def languages(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text, lang, ...): doc_id, held_out, lang_pred, score (0 to 1).
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if no row has a language to
-    learn. held_out is false for a null doc_id, and such rows don't teach. Ties go to the language first in order.
-    Repeated rows are predicted each; empty tables give no rows.
+    learn. Long texts are read whole (about 60 times a text's bytes at once). held_out is false for a null doc_id, and
+    such rows don't teach; a doc_id teaches each of its languages once. Ties go to the language first in order.
+    Repeated rows are predicted each; empty tables give no rows. Other columns are ignored, whatever their names.
     """
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
@@ -151,6 +158,7 @@ def languages(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame, margin: float = 1.2, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of docs, all columns, with a language: not `und`, `margin` times the share that chance gives (1 over the number of languages), and one of `wanted` if given.
 
+    Null texts have no letter and go; repeated rows are judged each; an empty table stays one.
     With one language to learn from there is no share to compare, and with none no text has a language but `und`: all
     texts with a letter are kept then (with `wanted`, only those whose language is known to be one of them)."""
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import ids_of, mix, raw, slices
 from .words import words
 
-#: Bounds of the fit: labelled rows of each label, and bytes of a text that may teach (all texts are scored whole).
-SAMPLE, LONGEST = 3_000, 40_000
+#: Bound of the fit: labelled rows of each label. All texts teach and are scored whole.
+SAMPLE = 3_000
 DIMENSIONS, NEIGHBOURS, TRIGRAMS = 48, 32, 1024
 
 _CLASSES = np.full(256, 15, np.int64)
@@ -102,16 +102,21 @@ def in_fold(ident: F.Column, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Voter | None:
+def one_text(docs: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts of a bounded number of chosen rows (doc_id, ...): of several texts of a doc_id that with the smallest hash."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", *columns).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | None:
     """A voter from at most `sample` rows of each label 0 and 1 outside the held-out fold; None if there are none.
 
     The rows with the smallest hash of their id are taken, so the sample doesn't depend on the partitioning."""
     teach = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    chosen = teach.where("quality = 0").orderBy(order, "doc_id").limit(sample).union(teach.where("quality = 1").orderBy(order, "doc_id").limit(sample))
-    have = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest)
+    first = lambda label: teach.where(F.col("quality") == label).distinct().orderBy(order, "doc_id").limit(sample)
     # at most 2 * sample ids: a bounded table
-    rows = have.join(F.broadcast(chosen), "doc_id")
+    rows = one_text(docs, first(0).union(first(1)), ["quality"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +141,10 @@ def score_batches(voter: Voter | None, part: pa.RecordBatch) -> np.ndarray:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, held_out, score (0 to 1), predicted (score >= threshold).
 
-    Null texts are scored as empty ones. held_out is false for a null doc_id. Rows of labels that are repeated teach
-    as often as they stand there; null labels don't teach. Empty tables give no rows; without labels scores are 1.
+    Null texts are scored as empty ones, long ones whole (a text needs about 60 times its bytes in memory). held_out is
+    false for a null doc_id. Repeated rows of labels teach once, a doc_id with both labels teaches both, and of several
+    texts of a doc_id one teaches; null labels don't teach. Repeated rows of docs are scored each. Empty tables give no
+    rows; without labels scores are 1. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     voter = spark.sparkContext.broadcast(fit(docs, labels))
@@ -153,7 +160,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns, whose score reaches the threshold.
+
+    Null texts, repeated rows and missing labels are as in quality_scores(); an empty table stays one."""
     voter = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

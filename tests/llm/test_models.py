@@ -1,13 +1,15 @@
 """Quality and language: held-out accuracy, folds, and awkward rows."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from terravox.llm import langid, quality
 
-from .helpers import awkward, crc, empty
+from .helpers import awkward, crc, empty, lower
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,6 +56,94 @@ def test_neighbours_vote_as_all_cosines_do():
         assert abs((w * y[top]).sum() / w.sum() - got) < 1e-5
 
 
+def plain_terms(text):
+    """terms() of one text with dictionaries and loops."""
+    data = (text or "").encode()
+    out = np.zeros(quality.TERMS)
+    classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", "\t", ".", ",;:", "!?", "'\"`", "-_", "()[]{}", "|", "*#$%&@^~", "<>/\\=+"]
+    kind = lambda b: 16 if b >= 128 else next((i for i, c in enumerate(classes) if chr(b) in c), 15)
+    for i in range(len(data) - 2):
+        code = data[i] | data[i + 1] << 8 | data[i + 2] << 16
+        out[(code * 0x9E3779B1 % (1 << 32)) >> 22] += 1
+    for i in range(len(data) - 1):
+        out[1024 + kind(data[i]) * 17 + kind(data[i + 1])] += 1
+    for part in (out[:1024], out[1024 : 1024 + 289]):
+        part[:] = np.sqrt(part / max(part.sum(), 1))
+    own = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    n, often = max(len(own), 1), Counter(own)
+    if own:
+        again, two = sum(a == b for a, b in zip(own, own[1:], strict=False)), sum(a == b for a, b in zip(own, own[2:], strict=False))
+        much = sum(often[w] / n > 0.1 and often[w] > 3 for w in own)
+        out[-6:] = again / n, two / n, much / n, 0.5 * sum(often[w] == 1 for w in own) / n, 0.5 * sum(often[w] > 2 + 0.02 * len(own) for w in own) / n, min(np.log1p(len(data) / n) / 6, 1)
+    return out
+
+
+def test_quality_query_is_what_plain_code_gives(spark):
+    """Terms by dictionaries, latent space by a singular value decomposition, votes among all cosines."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    x = {i: plain_terms(t) for i, t in text.items()}
+    taught = sorted((r.doc_id, r.quality) for r in labels.collect() if not crc(r.doc_id, 4, 2))
+    y = np.array([q for _, q in taught])
+    seen = np.array([x[i] for i, _ in taught])
+    mean, weight = seen.mean(axis=0), 1 / (seen.std(axis=0) + 0.02)
+    weight[-6:] *= 2
+    _, _, basis = np.linalg.svd((seen - mean) * weight, full_matrices=False)
+    place = lambda v: (v := (v - mean) * weight @ basis[: quality.DIMENSIONS].T) / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+    own, balance = place(seen), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    k, far = min(quality.NEIGHBOURS, len(y)), 0
+    for i, v in x.items():
+        near = own @ place(v)
+        top = np.argsort(-near)[:k]
+        vote = np.maximum(near[top], 1e-6) ** 4 * balance[top]
+        far += abs((vote * y[top]).sum() / vote.sum() - got[i]) > 0.02  # half-precision terms may swap a last neighbour
+    assert far <= 0.03 * len(x)
+
+
+def test_long_texts_teach_quality(spark):
+    """One label stands only on texts of over 40,000 bytes."""
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["the", "plain", "river", "goes", "by", "slowly", "then", "turns"]) for _ in range(60)) + "."
+    rows = [(i, good()) for i in range(40)] + [(100 + i, "$$ BUY 99!! " * (4_000 + i)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    assert {r.doc_id for r in quality.keep_quality(docs, labels).collect()} == set(range(40))
+
+
+def test_language_query_is_what_exact_sets_give(spark):
+    """Sets of n-grams instead of filters: the same languages, and nearly the same shares."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(docs).collect()}
+    grams = lambda t: [b[i : i + langid.N] for b in [lower(t).encode()] for i in range(len(b) - langid.N + 1)]
+    rows, often, texts = docs.collect(), {}, Counter()
+    for r in rows:
+        if r.lang is not None and not crc(r.doc_id, 5, 0):
+            often.setdefault(r.lang, Counter()).update(set(grams(r.text)))
+            texts[r.lang] += 1
+    known = {lang: {g for g, n in c.items() if n >= max(1, langid.COMMON * texts[lang])} for lang, c in often.items()}
+    for r in rows:
+        hits = {lang: sum(g in own for g in grams(r.text)) for lang, own in known.items()}
+        want = max(sorted(hits), key=hits.get) if any(c.isalpha() for c in r.text or "") else "und"
+        share = max(hits.values()) / max(1, sum(hits.values())) if want != "und" else 0
+        assert got[r.doc_id][0] == want and abs(got[r.doc_id][1] - share) < 0.05, r.doc_id  # short texts: a false positive more or less
+
+
+def test_counts_are_corrected_for_false_positives():
+    """A small array, so that many n-grams pass by chance: corrected counts are near the true ones."""
+    rng = np.random.default_rng(2)
+    grams = [rng.integers(0, 1 << 63, 600).astype(np.uint64) for _ in range(5)]
+    f = langid.LanguageFilters(list("abcde"), grams, words=1 << 12)
+    assert (f.chance > 0.02).all()
+    other = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    for bit, own in enumerate(grams):
+        mixed = np.concatenate([own, other])
+        hits = int(((f.languages_of(mixed)[:, 0] >> np.uint64(bit)) & np.uint64(1)).sum())
+        assert abs((hits - len(mixed) * f.chance[bit]) / (1 - f.chance[bit]) - len(own)) < 250 < hits - len(own)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -87,7 +177,7 @@ def test_every_language_is_learned(spark):
     word = lambda c: "".join(random.Random(c).choices("abcdefghijklmnopqrstuvwxyz", k=9))
     rows = [(100 * c + i, f"{word(c)} {word(c + 1000)}" * (600 if c == 3 else 1), f"l{c:03}") for c in range(150) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {r.doc_id for r in docs.collect() if len(r.text) > langid.LONGEST} == {300 + i for i in range(10)}
+    assert {r.doc_id for r in docs.collect() if len(r.text) > 10_000} == {300 + i for i in range(10)}
     got = {r.doc_id: r.lang_pred for r in langid.languages(docs).collect()}
     assert got == {i: lang for i, _, lang in rows}
 

@@ -122,6 +122,22 @@ def test_nearest(spark):
     assert ann.nearest(table.where("false")).count() == 0
 
 
+def test_nearest_of_doubles_and_repeated_ids(spark, monkeypatch):
+    """Several groups and stripes, components that float32 can't hold, and ids that stand there twice."""
+    for name, size in (("QUERY_BLOCK", 2), ("BLOCK", 7), ("GROUP", 2), ("TILES", 3)):
+        monkeypatch.setattr(ann, name, size)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)] + [(20, [0.5] * 6), (33, [9.0] * 6), (33, [9.0] * 6), (400, [1e300, 1.0, 0.0, 0.0, 0.0, 0.0]), (401, [1e-300, 1e-12, 0.0, 0.0, 0.0, 0.0]), (402, [1.0 + 1e-12] * 6), (403, [1.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(map(tuple, ann.nearest(table).collect()))
+    once = {}
+    for i, v in rows:
+        once[i] = min(once.get(i, v), v)
+    want = brute_nearest(sorted(once.items()))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-14)
+    assert all(len({v for q, _, v, _ in got if q == i}) == 20 for i in (20, 400))
+
+
 def test_quantised_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(40, 16)).astype(np.float32), (rng.normal(size=(50, 16)) * 100).astype(np.float32)
