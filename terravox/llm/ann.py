@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Queries and candidates in a block, query blocks in a group, and candidate blocks that one task goes through for a group.
-QUERY_BLOCK, BLOCK, GROUP, TILES = 512, 4096, 16, 32
+QUERY_BLOCK, BLOCK, GROUP, TILES = 512, 4096, 16, 8
 
 _BLOCK = "block long, dim int, ids binary, numbers binary"
 
@@ -185,7 +185,9 @@ def nearest(vectors: DataFrame, queries: F.Column | None = None, k: int = 20, id
     columns = ["group", "stripe", "side", "block", "dim", "ids", "numbers"]
     left = asked.select("group", every(n_stripes).alias("stripe"), F.lit(0).alias("side"), "block", "dim", "ids", "numbers")
     right = mine.select(every(n_groups).alias("group"), "stripe", F.lit(1).alias("side"), "block", "dim", "ids", "numbers")
-    tiles = left.union(right).select(columns).repartition("group", "stripe").sortWithinPartitions("group", "stripe", "dim", "side", "block")
+    # a number of its own, so that adaptive execution doesn't put all tiles in one task for being few bytes
+    tasks = max(1, min(n_groups * n_stripes, 100_000))
+    tiles = left.union(right).select(columns).repartition(tasks, "group", "stripe").sortWithinPartitions("group", "stripe", "dim", "side", "block")
     best = tiles.mapInArrow(_tiles(k, kind), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

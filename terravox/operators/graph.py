@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import SMALL, envelopes, stars
 from .grid import V, axes_of, cell_of
 
 
@@ -20,19 +21,26 @@ def step(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) with the smallest reachable node, for edges (a, b); alternating large and small stars."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    """(node, component) with the smallest reachable node, for edges (a, b) of numbers or strings.
+
+    Each task contracts its own edges to stars before anything is shuffled; then large and small stars alternate until
+    nothing changes. As soon as SMALL edges or fewer are left one task finishes the work."""
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    now = step(now.mapInArrow(stars, now.schema))
     before = None
     for _ in range(rounds):
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state[0] <= SMALL:
+            now = now.coalesce(1).mapInArrow(stars, now.schema).where("u <> v")
+        if state == before or state[0] <= SMALL:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = step(small.where("u > v").distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+        small = small.where("u > v").distinct()
+        now = step(small.mapInArrow(stars, small.schema).distinct())
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
@@ -87,46 +95,53 @@ def largest_component(cells: DataFrame, labelled: DataFrame) -> DataFrame:
 def squared_distance(cells: DataFrame, resolution: Sequence[int]) -> DataFrame:
     """Exact squared distance to the nearest cell that isn't 0 (unknown counts as 0), with that cell's value as `nearest`.
 
-    One axis after another: min over the line of (own distance + step^2). Without a source every cell gets
-    d (maxres + 1)^2."""
-    axes = axes_of(cells)
-    far = float(len(axes) * (max(resolution) + 1) ** 2)
-    now = cells.select(*cell_of(cells), F.when(V.isNotNull() & (V != 0), F.lit(0.0)).otherwise(F.lit(far)).alias("d2"), F.when(V.isNotNull() & (V != 0), V).alias("nearest"))
-    for a in axes:
-        others = [c for c in cell_of(cells) if c != a]
-        # a line has as many cells as the grid is wide
-        line = now.groupBy(*others).agg(F.collect_list(F.struct(F.col(a).alias("i"), "d2", "nearest")).alias("line"))
-        at = now.select(*cell_of(cells)).join(line, others)
-        best = F.array_min(_reach(a))
-        now = at.select(*cell_of(cells), F.least(best["d2"], F.lit(far)).alias("d2"), best["nearest"].alias("nearest"))
-    return now
+    Without a source every cell gets d (maxres + 1)^2 for d dimensions. Of equally near cells the one with the smaller
+    index along the last axis, then the axis before, counts."""
+    far = float(len(axes_of(cells)) * (max(resolution) + 1) ** 2)
+    return _from_sources(cells, V.isNotNull() & (V != 0), far)
 
 
-def _reach(axis: str) -> F.Column:
-    """A line's cells as seen from this cell: squared distance to their sources, index and value."""
-    own = F.col(axis)
-    return F.transform("line", lambda e: F.struct((e["d2"] + (e["i"] - own) * (e["i"] - own)).alias("d2"), e["i"].alias("i"), e["nearest"].alias("nearest")))
+def _from_sources(cells: DataFrame, source: F.Column, far: float) -> DataFrame:
+    """One axis after another; a line of cells goes once through the lower envelope of its sources' parabolas."""
+    source = F.coalesce(source, F.lit(False))
+    now = cells.select(*cell_of(cells), F.when(source, F.lit(0.0)).otherwise(F.lit(far)).alias("d2"), F.when(source, V).alias("nearest"))
+    for a in axes_of(cells):
+        others = [c for c in cell_of(cells) if c != a]
+        now = now.repartition(*others).sortWithinPartitions(*others, a).mapInArrow(envelopes(others, a, far), now.schema)
+    return now
 
 
 def signed_distance(cells: DataFrame, resolution: Sequence[int]) -> DataFrame:
-    """Distance outside the nonzero cells minus distance inside them."""
+    """Distance to the cells that aren't 0, minus distance to those that are 0, negative or unknown."""
     out = squared_distance(cells, resolution).select(*cell_of(cells), F.sqrt("d2").alias("outside"))
-    turned = cells.withColumn("value", F.when(V.isNotNull() & (V != 0), F.lit(0.0)).otherwise(F.lit(1.0)))
+    turned = cells.withColumn("value", F.when(V > 0, F.lit(0.0)).otherwise(F.lit(1.0)))
     inside = squared_distance(turned, resolution).select(*cell_of(cells), F.sqrt("d2").alias("inside"))
     return out.join(inside, cell_of(cells)).select(*cell_of(cells), (F.col("outside") - F.col("inside")).alias("value"))
 
 
 def voronoi(cells: DataFrame, resolution: Sequence[int]) -> DataFrame:
-    return squared_distance(cells, resolution).select(*cell_of(cells), F.col("nearest").alias("value"), "d2")
+    """value and squared distance (d2) of the nearest cell that isn't 0. Unknown cells of a 2D grid are sources as well, with an unknown value; without any source the value is 0 and d2 is 3 (maxres + 1)^2."""
+    far = 3.0 * (max(resolution) + 1) ** 2
+    found = _from_sources(cells, V.isNull() | (V != 0), far)
+    return found.select(*cell_of(cells), F.when(F.col("d2") < far, F.col("nearest")).otherwise(0.0).alias("value"), "d2")
+
+
+def _where_known(cells: DataFrame, result: DataFrame) -> DataFrame:
+    known = cells.select(*cell_of(cells), V.isNotNull().alias("known"))
+    return result.join(known, cell_of(cells)).select(*cell_of(cells), F.when(F.col("known"), F.col("value")).alias("value"))
 
 
 def dilate(cells: DataFrame, distance: float, resolution: Sequence[int]) -> DataFrame:
-    return squared_distance(cells, resolution).select(*cell_of(cells), F.when(F.col("d2") <= distance * distance, 1.0).otherwise(0.0).alias("value"))
+    """1 within the distance of a cell that isn't 0, else 0; unknown cells are no sources and stay unknown."""
+    near = squared_distance(cells, resolution).select(*cell_of(cells), F.when(F.col("d2") <= distance * distance, 1.0).otherwise(0.0).alias("value"))
+    return _where_known(cells, near)
 
 
 def erode(cells: DataFrame, distance: float, resolution: Sequence[int]) -> DataFrame:
-    empty = cells.withColumn("value", F.when(V.isNull() | (V <= 1e-20), F.lit(1.0)).otherwise(F.lit(0.0)))
-    return squared_distance(empty, resolution).select(*cell_of(cells), F.when(F.col("d2") > distance * distance, 1.0).otherwise(0.0).alias("value"))
+    """1 farther than the distance from every known cell of at most 1e-20, else 0; unknown cells erode nothing and stay unknown."""
+    empty = cells.withColumn("value", F.when(V <= 1e-20, F.lit(1.0)).when(V.isNotNull(), F.lit(0.0)))
+    left = squared_distance(empty, resolution).select(*cell_of(cells), F.when(F.col("d2") > distance * distance, 1.0).otherwise(0.0).alias("value"))
+    return _where_known(cells, left)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: float = float("inf"), rounds: int = 10_000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,10 @@ CORNERS = ("v0", "v1", "v2")
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with the positions of their corners: x0..z2. One shuffle of the corner table each way, however large the mesh."""
-    flat = faces.select("face_id", F.posexplode(F.array(*CORNERS)).alias("k", "vertex_id"))
-    met = flat.join(vertices.select("vertex_id", "x", "y", "z"), "vertex_id")
-    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
-    wide = met.groupBy("face_id").agg(*(pick(k, c) for k in range(3) for c in "xyz"))
-    return faces.join(wide, "face_id")
+    flat = faces.select("*", F.posexplode(F.array(*CORNERS)).alias("_k", "_vertex"))
+    place = vertices.select(F.col("vertex_id").alias("_vertex"), *(F.col(c).alias(f"_{c}") for c in "xyz"))
+    pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(f"_{c}"))).alias(f"{c}{k}")
+    return flat.join(place, "_vertex").groupBy(*faces.columns).agg(*(pick(k, c) for k in range(3) for c in "xyz"))
 
 
 def at(k: int) -> V3:
@@ -34,14 +34,17 @@ def normal() -> V3:
     return at(1).minus(at(0)).cross(at(2).minus(at(0))).unit()
 
 
-def measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Area, area-weighted centroid and mean distance of face centroids from it."""
+def measures(vertices: DataFrame, faces: DataFrame, radius: bool = True) -> DataFrame:
+    """Area, area-weighted centroid and (if asked for, by a second pass) mean distance of face centroids from it."""
     c = corners(vertices, faces).withColumns({"area": area(), **{f"c{a}": sum((F.col(f"{a}{k}") for k in range(3)), F.lit(0.0)) / 3 for a in "xyz"}})
     whole = c.agg(F.sum("area").alias("total"), *((F.sum(F.col("area") * F.col(f"c{a}")) / F.sum("area")).alias(f"m{a}") for a in "xyz"))
+    centre = whole.select(F.col("total").alias("area"), F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz"))
+    if not radius:
+        return centre
     d = F.sqrt(sum(((F.col(f"c{a}") - F.col(f"m{a}")) * (F.col(f"c{a}") - F.col(f"m{a}")) for a in "xyz"), F.lit(0.0)))
     out = c.crossJoin(F.broadcast(whole)).agg((F.sum(F.col("area") * d) / F.sum("area")).alias("radius"))
     # each side is one row, of nulls for a mesh without faces
-    return whole.select(F.col("total").alias("area"), F.col("mx").alias("cx"), F.col("my").alias("cy"), F.col("mz").alias("cz")).crossJoin(F.broadcast(out))
+    return centre.crossJoin(F.broadcast(out))
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -126,13 +129,27 @@ def face_components(faces: DataFrame) -> DataFrame:
     return faces.join(joined, F.col("face_id") == F.col("node"), "left").select("face_id", F.coalesce("component", "face_id").alias("component"))
 
 
-def smooth(vertices: DataFrame, faces: DataFrame, weight: float) -> DataFrame:
-    """(p + sum w q) / (1 + sum w) over the vertices around."""
+def smooth(vertices: DataFrame, faces: DataFrame, factor: float = 1) -> DataFrame:
+    """(p + sum w q) / (1 + sum w) over the vertices around, as many times as factor says (a fraction counts as one more).
+
+    w = exp(-length^2 / (2 sigma^2)) with sigma = length / mean length of the edges at the vertex, and 1 for an edge
+    without length. All lengths are those before the round. A vertex whose edges have no length, or that has none, stays."""
     e = edges(faces).select("v0", "v1")
     both = e.union(e.select(F.col("v1").alias("v0"), F.col("v0").alias("v1")))
-    near = both.join(vertices.select(F.col("vertex_id").alias("v1"), "x", "y", "z"), "v1").groupBy(F.col("v0").alias("vertex_id")).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in "xyz"))
-    out = vertices.join(near, "vertex_id", "left")
-    return out.select("vertex_id", *(F.coalesce((F.col(c) + weight * F.col(f"s{c}")) / (1 + weight * F.col("n")), F.col(c)).alias(c) for c in "xyz"))
+    for _ in range(math.ceil(factor)):
+        here, there = (vertices.select(F.col("vertex_id").alias(v), *(F.col(c).alias(f"{v}{c}") for c in "xyz")) for v in ("v0", "v1"))
+        met = both.join(here, "v0").join(there, "v1")
+        met = met.withColumn("length", G.point_point(V3.of(*(f"v0{c}" for c in "xyz")), V3.of(*(f"v1{c}" for c in "xyz"))))
+        # with that sigma the exponent is -(mean length)^2 / 2, whatever the edge
+        flat = lambda c: F.sum(F.when(F.col("length") > 0, 0).otherwise(1) * F.col(c))
+        long = lambda c: F.sum(F.when(F.col("length") > 0, 1).otherwise(0) * F.col(c))
+        one = met.withColumn("one", F.lit(1.0))
+        sums = one.groupBy(F.col("v0").alias("vertex_id")).agg(F.avg("length").alias("mean"), *(f(c).alias(n) for c in ("one", "v1x", "v1y", "v1z") for f, n in ((flat, f"flat_{c}"), (long, f"long_{c}"))))
+        w = F.exp(F.col("mean") * F.col("mean") / -2)
+        total = lambda c: F.col(f"flat_{c}") + w * F.col(f"long_{c}")
+        moved = lambda c: F.when(F.col("mean") > 0, (F.col(c) + total(f"v1{c}")) / (1 + total("one"))).otherwise(F.col(c)).alias(c)
+        vertices = vertices.join(sums, "vertex_id", "left").select("vertex_id", *(moved(c) for c in "xyz"))
+    return vertices
 
 
 def closest_on_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame, most: float, ident: str = "surfel_id") -> DataFrame:

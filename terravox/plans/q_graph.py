@@ -63,25 +63,57 @@ def distance_transform_sq(spark, sf):
     return G.squared_distance(_sources(cells2(spark, sf)), R2).drop("nearest")
 
 
-@query(f"""WITH {_MASK}, n AS (SELECT c.ix, c.iy, min((c.ix - s.ix) * (c.ix - s.ix) + (c.iy - s.iy) * (c.iy - s.iy))::DOUBLE AS i2 FROM cells2 c JOIN cells2 s ON s.value IS NULL OR s.value <= 60000 GROUP BY ALL)
-          SELECT 1 AS grid_id, ix, iy, round(sqrt(d2) - sqrt(i2), 6) AS value FROM d JOIN n USING (ix, iy)""", "cells2")
+def _signs(c):
+    """Unknown, negative, zero and positive cells."""
+    v = F.col("value")
+    return c.withColumn("value", F.when(v > 60000, v).when(v < 10000, -v - 1).when(v.isNotNull(), F.lit(0.0)))
+
+
+_SIGNS = """m AS (SELECT ix, iy, CASE WHEN value > 60000 THEN value WHEN value < 10000 THEN -value - 1 WHEN value IS NOT NULL THEN 0.0::DOUBLE END AS value FROM cells2)"""
+_NEAR = "min(coalesce((c.ix - s.ix) * (c.ix - s.ix) + (c.iy - s.iy) * (c.iy - s.iy), {far}))::DOUBLE"
+
+
+def _sources_sql(name: str, test: str, far: int = 5202) -> str:
+    return f"{name} AS (SELECT c.ix, c.iy, {_NEAR.format(far=far)} AS d2 FROM m c LEFT JOIN (SELECT ix, iy FROM m WHERE {test}) s ON true GROUP BY ALL)"
+
+
+@query(f"""WITH {_SIGNS}, {_sources_sql("o", "value <> 0")}, {_sources_sql("i", "value IS NULL OR value <= 0")}
+          SELECT 1 AS grid_id, ix, iy, round(sqrt(o.d2) - sqrt(i.d2), 6) AS value FROM o JOIN i USING (ix, iy)""", "cells2")
 def signed_distance(spark, sf):
-    return G.signed_distance(_sources(cells2(spark, sf)), R2).withColumn("value", F.round("value", 6))
+    return G.signed_distance(_signs(cells2(spark, sf)), R2).withColumn("value", F.round("value", 6))
+
+
+_SOLID = "m AS (SELECT ix, iy, iz, CASE WHEN value > 60000 THEN value WHEN value > 50000 THEN -value ELSE 0.0::DOUBLE END AS value FROM cells3)"
+
+
+def _sources3_sql(name: str, test: str) -> str:
+    near = "min(coalesce((c.ix - s.ix) * (c.ix - s.ix) + (c.iy - s.iy) * (c.iy - s.iy) + (c.iz - s.iz) * (c.iz - s.iz), 7803))::DOUBLE"
+    return f"{name} AS (SELECT c.ix, c.iy, c.iz, {near} AS d2 FROM m c LEFT JOIN (SELECT ix, iy, iz FROM m WHERE {test}) s ON true GROUP BY ALL)"
+
+
+@query(f"""WITH {_SOLID}, {_sources3_sql("o", "value <> 0")}, {_sources3_sql("i", "value <= 0")}
+          SELECT 1 AS grid_id, ix, iy, iz, round(sqrt(o.d2) - sqrt(i.d2), 6) AS value FROM o JOIN i USING (ix, iy, iz)""", "cells3")
+def signed_distance3(spark, sf):
+    v = F.col("value")
+    c = cells3(spark, sf).withColumn("value", F.when(v > 60000, v).when(v > 50000, -v).otherwise(0.0))
+    return G.signed_distance(c, R3).withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT 1 AS grid_id, c.ix, c.iy, min((c.ix - s.ix) * (c.ix - s.ix) + (c.iy - s.iy) * (c.iy - s.iy))::DOUBLE AS d2 FROM cells2 c JOIN cells2 s ON s.value > 60000 GROUP BY ALL""", "cells2")
+@query(f"""WITH {_SIGNS}, {_sources_sql("d", "value IS NULL OR value <> 0", 7803)} SELECT 1 AS grid_id, ix, iy, d2 FROM d""", "cells2")
 def voronoi_distance(spark, sf):
-    return G.voronoi(_sources(cells2(spark, sf)), R2).drop("value")
+    return G.voronoi(_signs(cells2(spark, sf)), R2).drop("value")
 
 
-@query(f"WITH {_MASK} SELECT 1 AS grid_id, ix, iy, CASE WHEN d2 <= 2.25 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM d", "cells2")
+@query(f"""WITH {_SIGNS}, {_sources_sql("d", "value <> 0")}
+          SELECT 1 AS grid_id, ix, iy, CASE WHEN m.value IS NULL THEN NULL WHEN d2 <= 2.25 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM d JOIN m USING (ix, iy)""", "cells2")
 def dilate(spark, sf):
-    return G.dilate(_sources(cells2(spark, sf)), 1.5, R2)
+    return G.dilate(_signs(cells2(spark, sf)), 1.5, R2)
 
 
-@query("""SELECT 1 AS grid_id, c.ix, c.iy, CASE WHEN min((c.ix - s.ix) * (c.ix - s.ix) + (c.iy - s.iy) * (c.iy - s.iy)) > 1 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM cells2 c JOIN cells2 s ON s.value IS NULL GROUP BY ALL""", "cells2")
+@query(f"""WITH {_SIGNS}, {_sources_sql("d", "value <= 1e-20")}
+          SELECT 1 AS grid_id, ix, iy, CASE WHEN m.value IS NULL THEN NULL WHEN d2 > 1 THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM d JOIN m USING (ix, iy)""", "cells2")
 def erode(spark, sf):
-    return G.erode(cells2(spark, sf), 1.0, R2)
+    return G.erode(_signs(cells2(spark, sf)), 1.0, R2)
 
 
 @query(f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT v0, v1, 1.0::DOUBLE + (v0 + v1) % 5 AS length FROM graph),
@@ -92,10 +124,12 @@ def shortest_paths(spark, sf):
     return G.shortest_paths(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 6.0).select("node", "distance")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_nationkey * 1000000 AS b FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT s_suppkey + 100000000, s_nationkey * 1000000 FROM supplier WHERE s_acctbal > 0),
-          u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)
-          SELECT a AS node, min(b) AS component FROM r GROUP BY 1 HAVING min(b) < a""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, c_nationkey * 1000000 AS b FROM customer UNION ALL SELECT s_suppkey + 100000000, s_nationkey * 1000000 FROM supplier),
+          h AS (SELECT b, min(a) AS a FROM e GROUP BY 1)
+          SELECT e.a AS node, least(h.a, e.b) AS component FROM e JOIN h USING (b) WHERE least(h.a, e.b) < e.a
+          UNION SELECT b, a FROM h WHERE a < b""")
 def graph_components(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey").cast("long") * 1000000).alias("b"))
-    s = table(spark, sf, "supplier").where("s_acctbal > 0").select((F.col("s_suppkey") + 100000000).alias("a"), (F.col("s_nationkey").cast("long") * 1000000).alias("b"))
+    """Customers and suppliers of a nation hang on the nation: the SQL says so in closed form."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey").cast("long") * 1000000).alias("b"))
+    s = table(spark, sf, "supplier").select((F.col("s_suppkey") + 100000000).alias("a"), (F.col("s_nationkey").cast("long") * 1000000).alias("b"))
     return G.components(c.union(s))

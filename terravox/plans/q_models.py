@@ -28,7 +28,7 @@ _MESH = """v AS (SELECT iy * 50 + ix AS vertex_id, ix, iy, value / 10000 AS z FR
 
 @query(f"WITH {_MESH} SELECT round(sum(area), 6) AS area, round(sum(area * cx) / sum(area), 6) AS cx, round(sum(area * cy) / sum(area), 6) AS cy FROM t", "cells2")
 def mesh_area(spark, sf):
-    return M.measures(*_mesh(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("area", "cx", "cy")))
+    return M.measures(*_mesh(spark, sf), radius=False).select(*(F.round(c, 6).alias(c) for c in ("area", "cx", "cy")))
 
 
 @query(f"WITH {_MESH} SELECT vertex_id, round(sum(area) / 3, 6) AS area FROM (SELECT unnest([v0, v1, v2]) AS vertex_id, area FROM t) GROUP BY 1", "cells2")
@@ -77,9 +77,21 @@ def mesh_components(spark, sf):
     return M.face_components(_mesh(spark, sf)[1])
 
 
-@query(f"""WITH {_EDGES}, b AS (SELECT v0, v1 FROM e UNION ALL SELECT v1, v0 FROM e) SELECT a.vertex_id, round((a.z + 0.5 * coalesce(sum(n.z), 0)) / (1 + 0.5 * count(n.z)) + 1.23e-8, 6) AS z FROM v a LEFT JOIN b ON b.v0 = a.vertex_id LEFT JOIN v n ON n.vertex_id = b.v1 GROUP BY a.vertex_id, a.z""", "cells2")
+def _smooth_sql(before: str, after: str) -> str:
+    """A round of smoothing over places (vertex_id, x, y, z)."""
+    return f"""l AS (SELECT v0, n.x, n.y, n.z, sqrt((n.x - p.x) ^ 2 + (n.y - p.y) ^ 2 + (n.z - p.z) ^ 2) AS length FROM b JOIN {before} p ON p.vertex_id = v0 JOIN {before} n ON n.vertex_id = v1),
+  w AS (SELECT v0, x, y, z, avg(length) OVER (PARTITION BY v0) AS mean, CASE WHEN length > 0 THEN exp((length * length) / (-2 * (length / avg(length) OVER (PARTITION BY v0)) ^ 2)) ELSE 1 END AS w FROM l),
+  {after} AS (SELECT p.vertex_id, (p.x + coalesce(sum(w * w.x), 0)) / (1 + coalesce(sum(w), 0)) AS x, (p.y + coalesce(sum(w * w.y), 0)) / (1 + coalesce(sum(w), 0)) AS y, (p.z + coalesce(sum(w * w.z), 0)) / (1 + coalesce(sum(w), 0)) AS z
+       FROM {before} p LEFT JOIN w ON v0 = p.vertex_id GROUP BY p.vertex_id, p.x, p.y, p.z)"""
+
+
+_FIRST = "b AS (SELECT v0, v1 FROM e UNION ALL SELECT v1, v0 FROM e), p0 AS (SELECT vertex_id, ix::DOUBLE AS x, iy::DOUBLE AS y, z FROM v)"
+
+
+@query(f"""WITH {_EDGES}, {_FIRST}, {_smooth_sql("p0", "p1")}, s AS (WITH {_smooth_sql("p1", "p2")} SELECT * FROM p2)
+          SELECT vertex_id, round(x + 1.23e-8, 6) AS x, round(y + 1.23e-8, 6) AS y, round(z + 1.23e-8, 6) AS z FROM s""", "cells2")
 def mesh_smooth(spark, sf):
-    return M.smooth(*_mesh(spark, sf), 0.5).select("vertex_id", F.round(F.col("z") + 1.23e-8, 6).alias("z"))
+    return M.smooth(*_mesh(spark, sf), 2).select("vertex_id", *(F.round(F.col(c) + 1.23e-8, 6).alias(c) for c in "xyz"))
 
 
 @query()

@@ -1,8 +1,9 @@
 """Views that read the test tables as spatial data, in DataFrames and in SQL.
 
 surfels   one point per embedding: position, normal, object, block
-cells2    50 x 11 raster of summed prices, NULL where no row falls (the full domain)
-cells3    50 x 11 x 7 raster, 0 where no row falls
+cells2    50 x 11 raster over all line items (the full domain): how far a cell's prices lie from those of its column's other
+          cells, on a scale of 0 upwards around 40,000; NULL where a cell has few rows for this table
+cells3    50 x 11 x 7 raster like it, 0 but in cells with many rows
 props     two properties per part
 scanlines events per user in time order
 tree      region, nation, customer and order as one hierarchy
@@ -12,7 +13,7 @@ points2   events as 2D points
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NX, NY, NZ = 50, 11, 7
@@ -32,17 +33,24 @@ def surfels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scores(axis: str, name: str) -> str:
+    """scored: each cell's value, and its number of rows in standard deviations from the mean of all cells (of its layer)."""
+    layer = "PARTITION BY iz" if name else ""
+    return f"""WITH sums AS (SELECT trunc(l_quantity)::INTEGER - 1 AS ix, round(l_discount * 100)::INTEGER AS iy{axis}, round(sum(l_extendedprice), 2) AS price, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL),
+        scored AS (SELECT ix, iy{name}, greatest(0.0::DOUBLE, round(40000 + coalesce(20000 * (price - avg(price) OVER c) / nullif(stddev_pop(price) OVER c, 0), 0), 2)) AS value,
+                          coalesce((n - avg(n) OVER l) / nullif(stddev_pop(n) OVER l, 0), 0) AS rows
+                   FROM sums WINDOW c AS (PARTITION BY ix{name}), l AS ({layer}))"""
+
+
 SQL = {
     "surfels": """SELECT vec_id AS surfel_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z,
         CAST(embedding[4] AS DOUBLE) AS nx, CAST(embedding[5] AS DOUBLE) AS ny, CAST(embedding[6] AS DOUBLE) AS nz,
         CAST(label AS BIGINT) AS object_id, vec_id // 64 AS block_id, vec_id * 7 % 256 AS flags, vec_id * 0.5::DOUBLE AS timestamp, CAST(embedding[7] AS DOUBLE) AS elevation FROM embeddings""",
-    "cells2": """SELECT 1 AS grid_id, gx.ix, gy.iy, c.value FROM (SELECT unnest(range(50))::INTEGER AS ix) gx CROSS JOIN (SELECT unnest(range(11))::INTEGER AS iy) gy
-        LEFT JOIN (SELECT trunc(l_quantity)::INTEGER - 1 AS ix, round(l_discount * 100)::INTEGER AS iy, round(sum(l_extendedprice), 2) AS value
-                   FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY ALL) c ON c.ix = gx.ix AND c.iy = gy.iy""",
-    "cells3": """SELECT 1 AS grid_id, gx.ix, gy.iy, gz.iz, coalesce(c.value, 0.0::DOUBLE) AS value FROM (SELECT unnest(range(50))::INTEGER AS ix) gx CROSS JOIN (SELECT unnest(range(11))::INTEGER AS iy) gy
+    "cells2": f"""SELECT 1 AS grid_id, gx.ix, gy.iy, c.value FROM (SELECT unnest(range(50))::INTEGER AS ix) gx CROSS JOIN (SELECT unnest(range(11))::INTEGER AS iy) gy
+        LEFT JOIN ({_scores("", "")} SELECT ix, iy, value FROM scored WHERE rows >= -0.5) c ON c.ix = gx.ix AND c.iy = gy.iy""",
+    "cells3": f"""SELECT 1 AS grid_id, gx.ix, gy.iy, gz.iz, coalesce(c.value, 0.0::DOUBLE) AS value FROM (SELECT unnest(range(50))::INTEGER AS ix) gx CROSS JOIN (SELECT unnest(range(11))::INTEGER AS iy) gy
         CROSS JOIN (SELECT unnest(range(7))::INTEGER AS iz) gz
-        LEFT JOIN (SELECT trunc(l_quantity)::INTEGER - 1 AS ix, round(l_discount * 100)::INTEGER AS iy, (l_linenumber - 1)::INTEGER AS iz, round(sum(l_extendedprice), 2) AS value
-                   FROM lineitem WHERE l_orderkey % 97 = 0 GROUP BY ALL) c ON c.ix = gx.ix AND c.iy = gy.iy AND c.iz = gz.iz""",
+        LEFT JOIN ({_scores(", (l_linenumber - 1)::INTEGER AS iz", ", iz")} SELECT ix, iy, iz, value FROM scored WHERE rows >= 0.8) c ON c.ix = gx.ix AND c.iy = gy.iy AND c.iz = gz.iz""",
     "props": "SELECT p_partkey AS vertex_id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size, p_retailprice AS price FROM part",
     "scanlines": "SELECT event_id AS scanline_id, user_id AS survey_id, epoch_us(ts) / 1000000.0::DOUBLE AS timestamp, value AS px, CAST(event_id % 1000 AS DOUBLE) AS py, event_type AS kind FROM events",
     "points2": "SELECT event_id AS point_id, value AS x, CAST(user_id AS DOUBLE) AS y, event_type AS kind FROM events",
@@ -63,19 +71,26 @@ def _domain(spark: SparkSession, *sizes: tuple[str, int]) -> DataFrame:
     return out
 
 
-def _prices(spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0")
+def _scored(spark: SparkSession, sf_dir: str, *more: F.Column) -> DataFrame:
+    """Cells with their value, and their number of rows in standard deviations from the mean (of their layer). Windows see cells only, a fixed number."""
+    own = table(spark, sf_dir, "lineitem")
     own = own.select((F.col("l_quantity").cast("int") - 1).alias("ix"), F.round(F.col("l_discount") * 100).cast("int").alias("iy"), *more, "l_extendedprice")
-    return own.groupBy(*[c for c in own.columns if c != "l_extendedprice"]).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    cell = [c for c in own.columns if c != "l_extendedprice"]
+    sums = own.groupBy(*cell).agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count("*").cast("double").alias("n"))
+    layer = ["iz"] if "iz" in cell else []
+    column, level = Window.partitionBy("ix", *layer), Window.partitionBy(*layer)
+    off = lambda c, w: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0))
+    value = F.greatest(F.lit(0.0), F.round(40000 + 20000 * off("price", column), 2))
+    return sums.select(*cell, value.alias("value"), off("n", level).alias("rows"))
 
 
 def cells2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _prices(spark, sf_dir)
+    own = _scored(spark, sf_dir).where("rows >= -0.5").drop("rows")
     return _domain(spark, ("ix", NX), ("iy", NY)).join(own, ["ix", "iy"], "left").select(F.lit(1).alias("grid_id"), "ix", "iy", "value")
 
 
 def cells3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _prices(spark, sf_dir, (F.col("l_linenumber") - 1).cast("int").alias("iz"))
+    own = _scored(spark, sf_dir, (F.col("l_linenumber") - 1).cast("int").alias("iz")).where("rows >= 0.8").drop("rows")
     return _domain(spark, ("ix", NX), ("iy", NY), ("iz", NZ)).join(own, ["ix", "iy", "iz"], "left").select(F.lit(1).alias("grid_id"), "ix", "iy", "iz", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
