@@ -49,7 +49,11 @@ def weighted_color(points: DataFrame, images: DataFrame, channels: Sequence[str]
     d = [F.col(f"e{a}") - F.col(a) for a in "xyz"]
     dist = F.sqrt(sum((c * c for c in d), F.lit(0.0)))
     facing = F.try_divide(sum((c * F.col(f"n{a}") for c, a in zip(d, "xyz", strict=True)), F.lit(0.0)), dist)
-    side = F.broadcast(images) if images.count() <= 100_000 else images
     w = F.try_divide(facing, dist)
-    seen = points.join(side, facing > 0).groupBy(ident).agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in channels))
+    # every point meets every image, in blocks that both sides name: one block is a row of some numbers for each of 50,000 images
+    blocks = max(1, -(-images.count() // 50_000))
+    side = images.withColumn("_block", F.pmod(F.xxhash64("image_id"), F.lit(blocks)))
+    dealt = points.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    met = dealt.join(F.broadcast(side) if blocks == 1 else side, "_block").where(facing > 0)
+    seen = met.groupBy(ident).agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in channels))
     return points.select(ident).join(seen, ident, "left").select(ident, *(F.coalesce(c, F.lit(0.5)).alias(c) for c in channels))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,9 +28,33 @@ def closure(nodes: DataFrame, most: int = 64) -> DataFrame:
     raise RuntimeError("the hierarchy has a cycle")
 
 
-def roll_up(nodes: DataFrame, *aggregates: F.Column) -> DataFrame:
-    """Aggregates over each node's subtree, itself included."""
-    return closure(nodes).join(nodes, "node_id").groupBy(F.col("ancestor").alias("node_id")).agg(*aggregates)
+def levels(nodes: DataFrame, most: int = 64) -> list[DataFrame]:
+    """The nodes by depth, roots first; a level is read by the next through one join on the parent."""
+    out, above = [], nodes.where("parent_id is null")
+    for _ in range(most):
+        if above.isEmpty():
+            return out
+        out.append(above)
+        above = step(nodes.join(above.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi"))
+    raise RuntimeError("the hierarchy has a cycle or is too deep")
+
+
+def roll_up(nodes: DataFrame, own: dict[str, F.Column], merge: dict[str, Callable[[str], F.Column]], lifted: dict[str, F.Column] | None = None) -> DataFrame:
+    """(node_id, ...): aggregates over each node's subtree, itself included.
+
+    own: a node's own values; merge: how values of one name are put together (F.sum, F.min, ...); lifted: what a value
+    becomes on its way to the parent (a height plus 1, say). Level by level from the deepest: what a level hands on is
+    aggregated by parent before it meets the level above, so no pair of ancestor and descendant is formed."""
+    below, done = None, None
+    for level in reversed(levels(nodes)):
+        mine = level.select("node_id", "parent_id", *(c.alias(n) for n, c in own.items()))
+        if below is not None:
+            handed = below.select(F.col("parent_id").alias("node_id"), *((lifted or {}).get(n, F.col(n)).alias(n) for n in own)).groupBy("node_id").agg(*(merge[n](n).alias(f"_{n}") for n in own))
+            handed = handed.join(level.select("node_id", "parent_id"), "node_id").select("node_id", "parent_id", *(F.col(f"_{n}").alias(n) for n in own))
+            mine = mine.unionByName(handed).groupBy("node_id", "parent_id").agg(*(merge[n](n).alias(n) for n in own))
+        below = step(mine)
+        done = below if done is None else done.unionByName(below)
+    return nodes.select("node_id", *(c.alias(n) for n, c in own.items())).where("false") if done is None else done.drop("parent_id")
 
 
 def multiply(a: F.Column, b: F.Column) -> F.Column:

@@ -75,12 +75,14 @@ _CLOSURE = """RECURSIVE c(ancestor, node_id, depth) AS (SELECT node_id, node_id,
 
 @query(f"WITH {_CLOSURE} SELECT c.ancestor AS node_id, count(*) AS nodes, round(sum(t.size), 2) AS size, max(depth) AS height FROM c JOIN tree t ON t.node_id = c.node_id GROUP BY 1", "tree")
 def subtree_counts(spark, sf):
-    return T.roll_up(tree(spark, sf), F.count("*").alias("nodes"), F.round(F.sum("size"), 2).alias("size"), F.max("depth").alias("height"))
+    own = {"nodes": F.lit(1).cast("long"), "size": F.col("size"), "height": F.lit(0)}
+    out = T.roll_up(tree(spark, sf), own, {"nodes": F.sum, "size": F.sum, "height": F.max}, {"height": F.col("height") + 1})
+    return out.withColumn("size", F.round("size", 2))
 
 
 @query(f"WITH {_CLOSURE} SELECT c.ancestor AS node_id, min(t.size) AS low, max(t.size) AS high FROM c JOIN tree t ON t.node_id = c.node_id GROUP BY 1", "tree")
 def subtree_bbox(spark, sf):
-    return T.roll_up(tree(spark, sf), F.min("size").alias("low"), F.max("size").alias("high"))
+    return T.roll_up(tree(spark, sf), {"low": F.col("size"), "high": F.col("size")}, {"low": F.min, "high": F.max})
 
 
 @query(f"WITH {_CLOSURE} SELECT node_id, parent_id FROM tree WHERE node_id NOT IN (SELECT node_id FROM c WHERE ancestor = 'n7')", "tree")

@@ -60,10 +60,10 @@ def range_semi_any(spark, sf):
 
 
 @query(f"""SELECT query_id, point_id, round(distance, 9) AS distance FROM (SELECT q.surfel_id AS query_id, p.surfel_id AS point_id, sqrt({_D2}) AS distance, row_number() OVER (PARTITION BY q.surfel_id ORDER BY sqrt({_D2}) DESC, p.surfel_id) AS r
-          FROM surfels q, surfels p WHERE q.object_id = 1) WHERE r = 1""", "surfels")
+          FROM surfels q, surfels p) WHERE r = 1""", "surfels")
 def furthest(spark, sf):
     s = surfels(spark, sf)
-    return J.furthest(s.where("object_id = 1"), s).withColumn("distance", F.round("distance", 9))
+    return J.furthest(s, s).withColumn("distance", F.round("distance", 9))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p.object_id AS object0, q.object_id AS object1, q.surfel_id FROM surfels q JOIN surfels p ON q.object_id <> p.object_id AND {_D2} <= 0.08::DOUBLE * 0.08::DOUBLE)
@@ -78,11 +78,11 @@ def coincident_weld(spark, sf):
     return J.weld(snapped)
 
 
-@query("""WITH i AS (SELECT c_custkey AS image_id, c_acctbal / 10000.0::DOUBLE AS ex, (c_custkey % 7) / 10.0::DOUBLE - 0.3 AS ey, -1.0::DOUBLE AS ez FROM customer WHERE c_nationkey = 3),
+@query("""WITH i AS (SELECT c_custkey AS image_id, c_acctbal / 10000.0::DOUBLE AS ex, (c_custkey % 7) / 10.0::DOUBLE - 0.3 AS ey, -1.0::DOUBLE AS ez FROM customer),
           s AS (SELECT surfel_id, image_id, (z + 1) / sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey) + (z + 1) * (z + 1)) AS c, (x - ex) * (x - ex) + (y - ey) * (y - ey) + (z + 1) * (z + 1) AS d2 FROM surfels, i WHERE z + 1 > 0)
           SELECT surfel_id, image_id, round(c / d2, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY surfel_id ORDER BY c / d2 DESC, image_id) AS r FROM s WHERE c >= 0.9) WHERE r = 1""", "surfels")
 def best_view_image(spark, sf):
-    images = table(spark, sf, "customer").where("c_nationkey = 3").select(
+    images = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("image_id"), (F.col("c_acctbal") / 10000.0).alias("ex"), ((F.col("c_custkey") % 7) / 10.0 - 0.3).alias("ey"), F.lit(-1.0).alias("ez"),
         F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(1.0).alias("tz"), F.lit(0.9).alias("cos_half_angle"),
     )
