@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Edges of which one task finds the components at once.
@@ -105,3 +106,32 @@ def line_starts(table: pa.Table, others: list[str]) -> list[int]:
         own = table[c].to_numpy()
         new[1:] |= own[1:] != own[:-1]
     return np.nonzero(new)[0].tolist()
+
+
+def ears(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Triangles over one hole, ear by ear: the corner with the least angle inside the hole goes first."""
+    after = dict(zip(pdf["b"].tolist(), pdf["a"].tolist(), strict=True))  # a hole is gone round against its faces
+    place = {a: np.array(p) for a, p in zip(pdf["a"].tolist(), pdf[["x", "y", "z"]].to_numpy().tolist(), strict=True)}
+    out: list[tuple[int, int, int]] = []
+    start = min(after)
+    loop, at = [start], after[start]
+    while at != start and at in after and len(loop) <= len(after):
+        loop.append(at)
+        at = after[at]
+    if at == start and len(set(loop)) == len(loop) == len(after):  # loops that meet in a vertex are left open
+        points = np.array([place[i] for i in loop])
+        across = np.cross(points, np.roll(points, -1, axis=0)).sum(axis=0)
+
+        def angle(i: int) -> float:
+            p, q, r = (place[loop[(i + d) % len(loop)]] for d in (-1, 0, 1))
+            u, v = p - q, r - q
+            size = np.linalg.norm(u) * np.linalg.norm(v)
+            inner = float(np.arccos(np.clip(u @ v / size, -1, 1))) if size else 0.0
+            return 2 * np.pi - inner if np.cross(v, u) @ across < 0 else inner
+
+        while len(loop) > 3:
+            i = min(range(len(loop)), key=lambda i: (round(angle(i), 12), loop[i]))
+            out.append((loop[i - 1], loop[i], loop[(i + 1) % len(loop)]))
+            loop.pop(i)
+        out.append(tuple(loop))
+    return pd.DataFrame([(key[0], n, *t) for n, t in enumerate(out)], columns=["hole", "n", "v0", "v1", "v2"])

@@ -1,23 +1,52 @@
 """Components, paths and distance transforms: iterative operators as joins and aggregations until nothing changes.
 
-Each step is cut with checkpoint() into spark.checkpoint.dir where that is set (plain persist() otherwise, as in
+Each step is a table in spark.checkpoint.dir (a temporary folder where that is unset and all runs on one machine, as in
 tests), so plans stay short and a lost executor loses one step.
 """
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import SMALL, envelopes, stars
 from .grid import V, axes_of, cell_of
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where that is unset and all runs on one machine."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _FOLDERS.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="terravox-steps-"))
+
+
 def step(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+    """The rows of df, written and read again: nothing of the plan behind them is left, nor what the optimizer knew of it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if the session still runs."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jvm is None or sc._jsc.sc().isStopped():
+        return
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

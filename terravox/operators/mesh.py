@@ -90,7 +90,7 @@ def dihedral(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     both = e.join(a, "f0").join(b, "f1")
     na, nb = V3.of("anx", "any", "anz"), V3.of("bnx", "bny", "bnz")
     across = V3.of("bcx", "bcy", "bcz").minus(V3.of("acx", "acy", "acz"))
-    turn = F.acos(G.clamp(na.dot(nb), -1, 1))
+    turn = F.when(F.abs(na.dot(nb) * na.dot(nb) - 1) <= 1e-6, F.lit(0.0)).otherwise(F.acos(G.clamp(na.dot(nb), -1, 1)))
     angle = F.when(na.dot(across) <= 0, F.pi() - turn).otherwise(F.pi() + turn)
     return both.select("v0", "v1", F.when(F.col("faces") < 2, 0.0).otherwise(angle).alias("angle"))
 

@@ -62,21 +62,6 @@ def subdivide(spark, sf):
     return M.corners(v, f).agg(F.count("*").alias("faces"), F.round(F.sum(M.area()), 5).alias("area")).crossJoin(F.broadcast(n)).select("faces", "vertices", "area")
 
 
-@query()
-def gauss_curvature(spark, sf):
-    return M.gauss_curvature(*_mesh(spark, sf))
-
-
-@query()
-def dihedral(spark, sf):
-    return M.dihedral(*_mesh(spark, sf))
-
-
-@query()
-def mesh_components(spark, sf):
-    return M.face_components(_mesh(spark, sf)[1])
-
-
 def _smooth_sql(before: str, after: str) -> str:
     """A round of smoothing over places (vertex_id, x, y, z)."""
     return f"""l AS (SELECT v0, n.x, n.y, n.z, sqrt((n.x - p.x) ^ 2 + (n.y - p.y) ^ 2 + (n.z - p.z) ^ 2) AS length FROM b JOIN {before} p ON p.vertex_id = v0 JOIN {before} n ON n.vertex_id = v1),
