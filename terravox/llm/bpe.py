@@ -101,11 +101,15 @@ def odd_white_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Fixed value: the pre-token pattern of which it is known that no match crosses the spans of encode_batch().
+SPANS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteBPE:
     """encode() and decode() as the tiktoken library's encode_ordinary() and decode_bytes()."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000) -> None:
-        self.pattern, self.at_most = regex.compile(pattern), memo
+        self.pattern, self.at_most, self.spans = regex.compile(pattern), memo, pattern == SPANS
         tokens = sorted(ranks, key=ranks.__getitem__)
         self.hash, self.ids = PerfectHash(tokens), [ranks[t] for t in tokens]
         # (id, id) -> id of the merge; a pair merges by the rank of what it makes
@@ -171,13 +175,14 @@ class ByteBPE:
 
         Texts are cut into spans that no pre-token crosses: before a space that stands alone between other characters,
         around a line feed that does, and between an ASCII letter and a full stop or comma. Spans are looked up in a
-        table of their bytes. Texts with white space next to white space, at an end or outside ASCII go as a whole.
+        table of their bytes. Texts with white space next to white space, at an end or outside ASCII go as a whole, and
+        so do all texts where the pattern isn't SPANS.
         """
         data, offsets = raw(column)
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        odd = odd_white_space(data, offsets)
+        odd = odd_white_space(data, offsets) if self.spans else np.ones(n, bool)
         begins = np.zeros(len(data) + 1, bool)
         begins[offsets] = True
         line = data == 10
@@ -221,7 +226,8 @@ def load(path: str, pattern: str) -> ByteBPE:
 def bpe_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """One row for each row of docs(doc_id, text, ...): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null and empty texts have no tokens and the digests of nothing. vocabulary is a file of base64 tokens and ranks
+    Null and empty texts have no tokens and the digests of nothing; long texts are encoded whole (about 30 times a text's
+    bytes at once). Other columns are ignored, whatever their names. vocabulary is a file of base64 tokens and ranks
     that every executor has at that path. Repeated rows are encoded each; empty tables give no rows.
     """
 

@@ -82,7 +82,7 @@ def texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", at_most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", at_most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many bytes of text each (or a single longer text), so that numpy temporaries stay small."""
     if not batch.num_rows:
         return

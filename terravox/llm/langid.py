@@ -92,7 +92,7 @@ class LanguageFilters:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's distinct n-grams, one a row."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, at_most=1 << 18):
             gram, row = ngrams(*raw(ids_of(part, "text")))
             both = np.unique(np.stack([row.astype(np.uint64), gram], axis=1), axis=0) if len(gram) else np.zeros((0, 2), np.uint64)
             yield pa.RecordBatch.from_arrays([ids_of(part, "lang").take(pa.array(both[:, 0].astype(np.int64))), pa.array(both[:, 1].view(np.int64))], ["lang", "gram"])

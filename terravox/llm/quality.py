@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Voter | Non
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at_most=1 << 18):
                 x = terms(*raw(ids_of(part, "text"))).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([ids_of(part), ids_of(part, "quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 

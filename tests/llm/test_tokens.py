@@ -45,6 +45,18 @@ def test_bpe_is_the_library_and_decodes(coder, tiktoken_coder):
         assert coder.encode(text).tolist() == ids[a:b].tolist()
 
 
+def test_spans_are_only_cut_for_their_pattern():
+    import tiktoken
+
+    other = r"[^r]*r|[^r]+"  # matches go over spaces and lines
+    assert bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).spans
+    own = bpe.load(P.path("byte_bpe_50k.tiktoken"), other)
+    lib = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=own.merges, special_tokens={})
+    some = ["over and out\nthere.", "", "rrr", "no such letter", "a, b. c\n\nfor"]
+    ids, begin = own.encode_batch(pa.array(some))
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [lib.encode(t) for t in some]
+
+
 def test_bpe_query_rows(spark, tiktoken_coder):
     docs = awkward(spark)
     got = bpe.bpe_digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
