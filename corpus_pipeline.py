@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, language, exact and near duplicates, then packed sequences.
 
 Every stage is one of the operators of terravox.llm over all that its predecessor kept; each stage's rows are written
-as Parquet in the shared folder and read again for the next.
+as Parquet in the shared folder and read again for the next. Extra columns go along up to packing, which has its own;
+a stage of an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ from terravox.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.7, by the labels of sf_dir."""
+    """Documents that score at least 0.7, by the labels of sf_dir. Null texts are scored as empty, repeated rows each; without labels all stay."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is better than a guess."""
+    """Documents with letters whose language is better than a guess. Null and letterless texts go; repeated rows are judged each."""
     return keep_languages(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (case of A-Z aside) that with the largest doc_id."""
+    """Of equal texts (case of A-Z aside) that with the largest doc_id. Rows without a doc_id and repeated rows of an owner stay; null is empty."""
     return keep_owners(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that shares 0.8 of its five-word shingles the smallest doc_id."""
+    """Of each group that shares 0.8 of its five-word shingles the smallest doc_id. Rows without a doc_id or without words stay."""
     return keep_first_of_each(docs, k=5, similarity=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 4096."""
+    """Token pieces with their places in sequences of 4096; null and empty texts are the end id alone."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
