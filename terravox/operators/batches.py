@@ -135,3 +135,20 @@ def ears(key, pdf: pd.DataFrame) -> pd.DataFrame:
             loop.pop(i)
         out.append(tuple(loop))
     return pd.DataFrame([(key[0], n, *t) for n, t in enumerate(out)], columns=["hole", "n", "v0", "v1", "v2"])
+
+
+def hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise from the leftmost; collinear points left out."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+
+    def half(q: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for c in q:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(c)
+        return out
+
+    return np.array(half(p)[:-1] + half(p[::-1])[:-1])

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import hull
 from .spatial_join import range_pairs
 
 
@@ -35,35 +36,18 @@ def support_height(points: DataFrame, key: str, cell: float) -> DataFrame:
     return best.select(key, ((F.col("level") + 0.5) * cell).alias("z"))
 
 
-def _hull(p: np.ndarray) -> np.ndarray:
-    """Corners of the convex hull, counter-clockwise from the leftmost; collinear points left out."""
-    p = np.unique(p, axis=0)
-    if len(p) < 3:
-        return p
-
-    def half(q: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for c in q:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (c[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (c[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(c)
-        return out
-
-    return np.array(half(p)[:-1] + half(p[::-1])[:-1])
-
-
 def convex_hulls(points: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
     """(key, n, x, y) corners in order. Each task first keeps only the corners of its own points, so the final groups are small."""
     own = points.select(F.col(key).cast("long").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [pd.DataFrame(_hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(k=k) for k, g in pdf.groupby("k")]
+            parts = [pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(k=k) for k, g in pdf.groupby("k")]
             if parts:
                 yield pd.concat(parts)[["k", "x", "y"]]
 
     def final(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _hull(pdf[["x", "y"]].to_numpy())
+        h = hull(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({"k": group[0], "n": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]})
 
     return own.mapInPandas(partial, "k long, x double, y double").groupBy("k").applyInPandas(final, "k long, n long, x double, y double").withColumnRenamed("k", key)

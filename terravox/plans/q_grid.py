@@ -141,9 +141,9 @@ _cell("grid_gradient_angle", lambda c: G.gradient_angle(c, R2), f"WITH {_BOTH} S
 _cell("grid_harris", lambda c: G.apply(G.harris(c, 1, 0.05, R2), G.V / 1e12), f"""WITH {_BOTH}, t AS (SELECT c.ix, c.iy, sum(w * g.x * g.x) AS xx, sum(w * g.x * g.y) AS xy, sum(w * g.y * g.y) AS yy FROM cells2 c,
       (SELECT dx, dy, exp(-(dx * dx + dy * dy) / 0.5::DOUBLE) AS w FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) o JOIN g ON g.ix = c.ix + dx AND g.iy = c.iy + dy WHERE g.x IS NOT NULL AND g.y IS NOT NULL GROUP BY ALL)
       SELECT grid_id, ix, iy, round((xx * yy - xy * xy - 0.05 * (xx + yy) * (xx + yy)) / 1e12, 3) AS value FROM cells2 LEFT JOIN t USING (ix, iy)""", digits=3)
-_cell("grid_hessian", lambda c: G.hessian(c, "ix", "ix", R2), f"""WITH {_BOTH}, m2(dx, dy, w) AS (VALUES {", ".join(f"({i % 3 - 1}, {i // 3 - 1}, {float(m)!r}::DOUBLE)" for i, m in enumerate(SOBEL_X))}),
+_cell("grid_hessian", lambda c: G.apply(G.hessian(c, "ix", "ix", R2), G.V + 1.23e-5), f"""WITH {_BOTH}, m2(dx, dy, w) AS (VALUES {", ".join(f"({i % 3 - 1}, {i // 3 - 1}, {float(m)!r}::DOUBLE)" for i, m in enumerate(SOBEL_X))}),
       h AS (SELECT c.ix, c.iy, sum(w * t.x) AS v, count(t.x) AS n FROM g c, m2 JOIN g t ON t.ix = c.ix + dx AND t.iy = c.iy + dy GROUP BY ALL)
-      SELECT grid_id, ix, iy, round(CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END, 3) AS value FROM cells2 LEFT JOIN h USING (ix, iy)""", digits=3)
+      SELECT grid_id, ix, iy, round(CASE WHEN ix BETWEEN 1 AND 48 AND iy BETWEEN 1 AND 9 AND n = 9 THEN v END + 1.23e-5, 3) AS value FROM cells2 LEFT JOIN h USING (ix, iy)""", digits=3)
 
 
 def _blur_sql(view: str, axis: str, others: str, sigma: float, keep: str) -> str:

@@ -288,4 +288,4 @@ def mesh_fill_holes(spark, sf):
 def furthest_vertices(spark, sf):
     v, f = _mesh(spark, sf)
     seeds = v.agg(F.min("vertex_id").alias("node"))
-    return N.furthest_vertices(v, f, seeds, 2)
+    return N.furthest_vertices(v, f, seeds, 1)
