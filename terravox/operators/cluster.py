@@ -42,8 +42,9 @@ def affinity(distance: F.Column, normal_angle: F.Column | None, max_distance: fl
 
 
 def region_growing(edges: DataFrame, least: float) -> DataFrame:
-    """(node, component): regions joined by edges (a, b, affinity) of at least this affinity."""
-    return components(edges.where(F.col("affinity") >= least).select("a", "b"))
+    """(node, component): regions joined by edges (a, b, affinity) of at least this affinity, each named by its smallest node; a node without such an edge is in none."""
+    others = components(edges.where(F.col("affinity") >= least).select("a", "b"))
+    return others.union(others.select(F.col("component").alias("node"), "component").distinct())
 
 
 def agglomerate(points: DataFrame, edges: DataFrame, max_distance: float, least: float = 0.1, ident: str = "surfel_id", rounds: int = 1_000) -> DataFrame:

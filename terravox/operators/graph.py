@@ -50,7 +50,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) with the smallest reachable node, for edges (a, b) of numbers or strings.
+    """(node, component) with the smallest reachable node, for edges (a, b) of numbers or strings. That smallest node has no row itself.
 
     Each task contracts its own edges to stars before anything is shuffled; then large and small stars alternate until
     nothing changes. As soon as SMALL edges or fewer are left one task finishes the work."""

@@ -218,3 +218,12 @@ def furthest_vertices(vertices: DataFrame, faces: DataFrame, seeds: DataFrame, n
         own = shortest_paths(both, one, top["distance"]).select("node", F.col("distance").alias("own"))
         near = step(near.join(own, "node", "left").select("node", F.least("distance", "own").alias("distance")))
     return vertices.sparkSession.createDataFrame(found, "place int, vertex_id long, distance double")
+
+
+def vertex_means(vertices: DataFrame, faces: DataFrame, values: DataFrame, column: str = "value") -> DataFrame:
+    """(vertex_id, column): means over a vertex's faces of the values (face_id, column), weighed by area.
+
+    Vertices without faces, without values or with faces of no area only are left out. Partial sums meet by vertex, so a vertex of many faces is no task's burden."""
+    own = corners(vertices, faces).select("face_id", area().alias("_area"), F.array("v0", "v1", "v2").alias("_v")).join(values.select("face_id", column).where(F.col(column).isNotNull()), "face_id")
+    sums = own.select(F.explode("_v").alias("vertex_id"), "_area", (F.col("_area") * F.col(column)).alias("_sum")).groupBy("vertex_id").agg(F.sum("_sum").alias("_sum"), F.sum("_area").alias("_area"))
+    return sums.where("_area > 0").select("vertex_id", (F.col("_sum") / F.col("_area")).alias(column))
