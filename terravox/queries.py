@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import q_chains, q_geometry, q_graph, q_grid, q_labels, q_mesh, q_models, q_more, q_props, q_scan, q_spatial, q_time  # noqa: F401  they register themselves
+from .plans import q_chains, q_geometry, q_graph, q_grid, q_labels, q_mesh, q_models, q_more, q_props, q_scan, q_sources, q_spatial, q_time  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

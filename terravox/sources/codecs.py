@@ -1,7 +1,8 @@
 """File formats as pure functions between bytes and pandas frames.
 
 Points: xyz, xyzn (text), pts, sdf, pset (float32 tuples), vts (indexed text). Grids: grd (2D and 3D), vox, raw, pfm,
-pnm, png16, grdascii, dx. Meshes: off, obj, ply (ascii and binary), stl, ifs. Properties: arff, npy, prp. Molecules: pdb.
+pnm, png16, grdascii, dx, phi, ccp4, insight. Meshes: off, obj, ply (ascii and binary), stl, ifs, ray, catt, hoppe.
+Properties: arff, npy, prp, val. Molecules: pdb. Surfel blocks and scenes have modules of their own.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
+from . import mesh_text, scene, surfels, volumes
+
 #: Fixed values of the formats: the magic number of raw rasters and the float tuples of binary point files.
 RAW_MAGIC = 54321
 TUPLES = {
@@ -200,8 +203,13 @@ def mesh_frame(vertices: np.ndarray, faces: list[list[int]]) -> pd.DataFrame:
 
 
 def mesh_arrays(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    v = df[df["part"] == "v"].sort_values("id")[["x", "y", "z"]].to_numpy(np.float64)
-    return v, df[df["part"] == "f"].sort_values("id")[["a", "b", "c"]].to_numpy().astype(np.int64)
+    """Places by vertex id, and corners as places in that order, so that ids may have gaps."""
+    v = df[df["part"] == "v"].sort_values("id")
+    corners = df[df["part"] == "f"].sort_values("id")[["a", "b", "c"]].to_numpy().astype(np.int64)
+    ids = v["id"].to_numpy(np.int64)
+    if len(corners) and not np.isin(corners, ids).all():
+        raise ValueError("a face has a corner that is no vertex")
+    return v[["x", "y", "z"]].to_numpy(np.float64), np.searchsorted(ids, corners)
 
 
 def read_off(data: bytes) -> pd.DataFrame:
@@ -381,6 +389,20 @@ def write_prp(df: pd.DataFrame) -> bytes:
     return struct.pack("<2i", *wide.shape) + names + wide.fillna(-1).to_numpy("<f4").tobytes()
 
 
+def read_val(data: bytes) -> pd.DataFrame:
+    """One number a vertex, in order."""
+    v = np.array(data.split(), np.float64)
+    return pd.DataFrame({"vertex_id": np.arange(len(v)), "name": "value", "value": v})
+
+
+def write_val(df: pd.DataFrame) -> bytes:
+    """Vertices without a value, or missing between others, are written as zeros."""
+    known = df[df["value"].notna()]
+    v = np.zeros(int(df["vertex_id"].max()) + 1 if len(df) else 0)
+    v[known["vertex_id"]] = known["value"]
+    return "".join(f"{x!r}\n" for x in v.tolist()).encode()
+
+
 def read_ifs(data: bytes) -> pd.DataFrame:
     """Length-prefixed strings, float32 vertices, int32 triangles; triangles with a repeated corner are left out."""
     at = 0
@@ -470,6 +492,14 @@ def _rows_text(names: list[str], numbered: bool = False) -> Callable[[pd.DataFra
     return lambda df: "".join((f"{i} " if numbered else "") + " ".join(map(repr, r)) + "\n" for i, r in enumerate(df[names].to_numpy(np.float64).tolist())).encode()
 
 
+def _volume(read: Callable[[bytes], np.ndarray], write: Callable[[np.ndarray], bytes]) -> tuple[Callable[[bytes], pd.DataFrame], Callable[[pd.DataFrame], bytes]]:
+    return lambda d: _cells(read(d)), lambda f: write(_dense(f))
+
+
+def _text_mesh(read: Callable[[bytes], mesh_text.Mesh], write: Callable[[np.ndarray, np.ndarray], bytes]) -> tuple[Callable[[bytes], pd.DataFrame], Callable[[pd.DataFrame], bytes]]:
+    return lambda d: mesh_frame(*read(d)), lambda f: write(*mesh_arrays(f))
+
+
 #: kind: (schema, reader, writer)
 FORMATS: dict[str, tuple[str, Callable[[bytes], pd.DataFrame], Callable[[pd.DataFrame], bytes]]] = {
     "xyz": (_POINTS, lambda d: _points_text(d, ["x", "y", "z"]), _rows_text(["x", "y", "z"])),
@@ -482,5 +512,8 @@ FORMATS: dict[str, tuple[str, Callable[[bytes], pd.DataFrame], Callable[[pd.Data
     "pnm": (_GRID2, read_pnm, write_pnm), "grdascii": (_GRID3, read_grdascii, write_grdascii), "dx": (_GRID3, read_dx, write_dx),
     "off": (_MESH, read_off, write_off), "obj": (_MESH, read_obj, write_obj), "ply": (_MESH, read_ply, write_ply), "stl": (_MESH, read_stl, write_stl),
     "ifs": (_MESH, read_ifs, write_ifs), "png16": (_GRID2, read_png16, write_png16), "npy": ("vertex_id long, name string, value double", read_npy, write_npy), "prp": ("vertex_id long, name string, value double", read_prp, write_prp),
-    "arff": ("vertex_id long, name string, value double", read_arff, write_arff), "pdb": (_ATOMS, read_pdb, write_pdb),
+    "arff": ("vertex_id long, name string, value double", read_arff, write_arff), "pdb": (_ATOMS, read_pdb, write_pdb), "val": ("vertex_id long, name string, value double", read_val, write_val),
+    "phi": (_GRID3, *_volume(volumes.read_phi, volumes.write_phi)), "ccp4": (_GRID3, *_volume(volumes.read_ccp4, volumes.write_ccp4)), "insight": (_GRID3, *_volume(volumes.read_insight, volumes.write_insight)),
+    "ray": (_MESH, *_text_mesh(mesh_text.read_ray, mesh_text.write_ray)), "catt": (_MESH, *_text_mesh(mesh_text.read_catt, mesh_text.write_catt)), "hoppe": (_MESH, *_text_mesh(mesh_text.read_hoppe, mesh_text.write_hoppe)),
+    "surfels": ("block_id int, " + surfels.SURFELS, surfels.read_database, surfels.write_database), "xyzrgb": (_POINTS + ", r int, g int, b int", surfels.read_text, surfels.write_text), "scene": (scene.SCHEMA, scene.decode, scene.encode),
 }

@@ -62,6 +62,13 @@ def write(df: DataFrame, folder: str, kind: str, by: str) -> int:
     return encoded(df, kind, by).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def mesh_rows(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Vertices (vertex_id, x, y, z) and faces (face_id, v0, v1, v2) as the one table that mesh files are written from."""
+    none = F.lit(None).cast("double")
+    v = vertices.select(F.lit("v").alias("part"), F.col("vertex_id").cast("long").alias("id"), "x", "y", "z", *(none.alias(c) for c in "abc"))
+    return v.union(faces.select(F.lit("f"), F.col("face_id").cast("long"), none, none, none, *(F.col(c).cast("double") for c in ("v0", "v1", "v2"))))
+
+
 def vertices(mesh: DataFrame) -> DataFrame:
     return mesh.where("part = 'v'").select("file", F.col("id").alias("vertex_id"), "x", "y", "z")
 

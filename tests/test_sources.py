@@ -12,6 +12,10 @@ from terravox.sources.codecs import FORMATS, read_obj, read_off, read_ply, read_
 CELLS3 = pd.DataFrame([(x, y, z, float(x + 10 * y + 100 * z)) for z in range(2) for y in range(2) for x in range(2)], columns=["ix", "iy", "iz", "value"]).astype({"ix": "int32", "iy": "int32", "iz": "int32"})
 CELLS2 = CELLS3[CELLS3.iz == 0].drop(columns="iz").reset_index(drop=True)
 POINTS = pd.DataFrame({"x": [0.5, -1.25], "y": [2.0, 0.0], "z": [1.0, 3.5], "nx": [0.0, 1.0], "ny": [1.0, 0.0], "nz": [0.0, 0.0], "value": [0.25, -2.0], "r": 0.5, "g": 0.25, "b": 1.0, "timestamp": 7.0, "category_id": [3, 4], "instance_id": [1, 0]})
+_LISTS = {"object": ([0], [1.5, -2.0]), "node": ([3], []), "image": ([], [0.125] * 25), "object_relationship": ([0, 0], [7.0])}
+_NUMBERS = {"scene": [float(i) for i in range(16)], "comment": [], "node": [-1, 0, 1, 0, 2.5, 0.5], "object": [9, -1, 0, 1, 2, 1.25, 4], "label": [5, 65, 0, -1, 0, 0.5, 0.25, 1, 2], "feature": [0, 1, 0.5, 3, 1], "object_relationship": [2, 2, 1], "assignment": [0, 0, 0.75, 1], "scan": [*range(10), 0, 4, 3, 2.5, 2, 1.5, 0, 2.5], "image": [*range(10), 0, 4, 3, 2.5, 2.5, 2, 1.5, 0, 1, 1]}
+_NAMED = {"scene": "a scene", "comment": "one\ttwo\nthree", "object": "big chair", "feature": "height"}
+SCENE = pd.DataFrame([(k, 0, _NAMED.get(k), [float(v) for v in n], *_LISTS.get(k, ([], [])), {"scene": "1.1", "feature": "a.grd"}.get(k)) for k, n in _NUMBERS.items()], columns=["kind", "id", "name", "numbers", "refs", "operands", "path"])
 OFF = b"OFF\n4 1 0\n0 0 0\n1 0 0\n1 1 0\n0 1 0\n4 0 1 2 3\n"
 
 
@@ -19,10 +23,20 @@ OFF = b"OFF\n4 1 0\n0 0 0\n1 0 0\n1 1 0\n0 1 0\n4 0 1 2 3\n"
 def test_round_trip(kind):
     schema, read, write = FORMATS[kind]
     names = [c.split()[0] for c in schema.split(", ")]
-    if "ix" in names:
+    if kind == "phi":  # it is always as large
+        rows = pd.DataFrame([(x, y, z, float(x == 3 and y == z)) for z in range(65) for y in range(65) for x in range(65)], columns=names)
+    elif "ix" in names:
         rows = CELLS3 if "iz" in names else CELLS2
     elif "part" in names:
         rows = read_off(OFF)
+    elif kind == "val":
+        rows = pd.DataFrame({"vertex_id": [0, 1, 2], "name": "value", "value": [1.5, 0.0, -2.25]})
+    elif kind == "surfels":
+        rows = pd.DataFrame({c: 0.5 if "double" in t else 3 for c, t in (f.split() for f in schema.split(", "))}, index=[0, 1]).assign(block_id=[0, 1], nx=[0.0, 1.0], ny=0.0, nz=[1.0, 0.0], tx=1.0, ty=0.0, tz=0.0)
+    elif kind == "xyzrgb":
+        rows = POINTS[["x", "y", "z"]].assign(r=[1, 0], g=[2, 255], b=[3, 9])
+    elif kind == "scene":
+        rows = SCENE
     elif kind in ("arff", "npy", "prp"):
         rows = pd.DataFrame({"vertex_id": [0, 1, 0, 1], "name": ["p0", "p0", "p1", "p1"], "value": [1.5, np.nan, 2.0, 3.0]})
     elif kind == "pdb":
@@ -103,3 +117,79 @@ def test_catalogs(spark, tmp_path):
     assert catalogs.nerf_frames(spark, f("n.json")).first().pose[11] == 2
     intrinsics, scans = catalogs.configuration(spark, f("c.conf"))
     assert intrinsics.first().numbers == [500, 500, 320, 240] and len(scans.first().pose) == 16
+
+
+def test_volume_layouts():
+    from terravox.sources import volumes
+
+    v = np.arange(24.0).reshape(2, 3, 4)
+    flipped = volumes.write_ccp4(v.transpose(2, 0, 1))  # columns run along y, rows along z, sections along x
+    header = bytearray(flipped[:1024])
+    header[64:76] = struct.pack("<3i", 2, 3, 1)
+    header[92:96] = struct.pack("<i", 80)
+    assert np.array_equal(volumes.read_ccp4(bytes(header) + b"s" * 80 + flipped[1024:]), v)
+    data, size = volumes.write_raw3(v, "Int16")
+    assert size == "Int16(4,3,2)\n" and np.array_equal(volumes.read_raw3(data, size), v) and len(data) == 48
+    insight = volumes.write_insight(v)
+    for broken in (insight[:-1], insight[:-20], b"", insight[:64] + struct.pack("<i", 71) + insight[68:]):
+        with pytest.raises((ValueError, struct.error)):
+            volumes.read_insight(broken)
+    line = volumes.as_atoms(v, [[2, 0, 0, 10], [0, 2, 0, 0], [0, 0, 2, 0]]).decode().splitlines()[0]
+    assert line.startswith("HETATM    0 H    POC 1   0") and line[30:54].split() == ["12.000", "0.000", "0.000"]
+
+
+def test_text_meshes():
+    from terravox.sources import mesh_text
+
+    v, f = mesh_text.read_catt(b"%CORNERS\n\n1 0 0 0\n2 1 0 0\n3 1 1 0\n4 0 1 0\n%PLANES\n\n0 / /RIGID\n1 2 3 4\n\n1 / /RIGID\n1 1 2\n%EOF\n9 9 9 9\n")
+    assert v.shape == (4, 3) and f == [[0, 1, 2], [0, 2, 3]]
+    v, f = mesh_text.read_hoppe(b"# c\nVertex 1  0 0 0 {normal=(0 0 1)}\nVertex 2 1 0 0\nVertex 3 0 1 0\nFace 1  1 2 3\nFace 2 1 1 3\n")
+    assert v[1].tolist() == [1, 0, 0] and f == [[0, 1, 2]]
+    v, f = mesh_text.read_ray(b"#vertex 0 0 0 0 0 1 0 0\n#vertex 1 0 0 0 0 1 0 0 #vertex 0 1 0 0 0 1 0 0\n#camera 1 2 3\n#shape_triangle -1 0 1 2\n")
+    assert len(v) == 3 and f == [[0, 1, 2]]
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("version", [3, 4, 5, 6])
+def test_surfel_databases_of_all_versions(version, order):
+    from terravox.sources import surfels
+
+    a = np.zeros(2, np.dtype(surfels.RECORDS[version]).newbyteorder(order))
+    a["position"], a["normal"], a["radius"], a["color"], a["flags"] = [[1, 2, 3], [4, 5, 6]], [[32767, 0, 0]] * 2, 8192, [[1, 2, 3]] * 2, 64
+    if version == 5:
+        a["attribute"] = (33168 << 16) | 7
+    if version == 6:
+        a["elevation"], a["attribute"] = 400, 7
+    count = struct.pack(f"{order}i", 2) if version < 4 else struct.pack(f"{order}q", 2)
+    head = struct.pack(f"{order}32s4I", surfels.MAGIC, 1, 1, version, 0)
+    tail = count + struct.pack(f"{order}8dI", *[0.0] * 8, 0) + bytes(surfels.HEADER_END)
+    start = len(head) + 16 + len(tail)
+    entry = struct.pack(order + surfels.ENTRY, start, 2, 2, 10, 20, 30, *[0.0] * 6, 0.5, 0, 100.0, 0, 0, 0, 0) + bytes(surfels.BLOCK_END)
+    back = surfels.read_database(head + struct.pack(f"{order}Q2I", start + a.nbytes, 1, 1) + tail + a.tobytes() + entry)
+    assert back[["x", "y", "z"]].values.tolist() == [[11, 22, 33], [14, 25, 36]] and back.nx.tolist() == [1, 1] and back.r1.tolist() == [1, 1] and back.timestamp.tolist() == [100, 100]
+    assert (back.elevation.iloc[0], back.attribute.iloc[0]) == {3: (0, 0), 4: (0, 0), 5: (1, 7), 6: (1, 7)}[version] and (back.b.iloc[0], back["flags"].iloc[0]) == (3, 64)
+
+
+def test_upc_and_scene_literals():
+    from terravox.sources import scene, surfels
+
+    point = bytearray(36)
+    point[9] = ord("0")
+    struct.pack_into("<3i", point, 16, 100, -200, 50)
+    struct.pack_into("<3H", point, 29, 300, 20, 0)
+    upc = surfels.read_upc(struct.pack(surfels.UPC_HEADER, b"UPCf", 1, 0, 64, 1, 0.01, 0.01, 0.02, 444966, 5029450, 5) + bytes(point))
+    assert upc.iloc[0].tolist() == [2.0, -2.0, 6.0, 255, 20, 0, True]
+    text = "SSA 1.0 None 1 1 1 0 0 0 1 0 0 0 0 0 0 0 0 N root+node -1 0 2 0 1 0 0 0 0 0 0 0 0 0 4 5 O None 0 -1 0 1 2 0 0 0 0 0 0 0 0 0 1.5 2 0 L None 0 0 0 -1 0 1 0 0 0 0 0 0 A 0 0 0.5 1 0 0 0 0"
+    rows = scene.decode(text.encode()).set_index("kind")
+    assert rows.loc["node", "name"] == "root node" and rows.loc["node", "refs"] == [4, 5] and rows.loc["object", "operands"] == [1.5, 2] and rows.loc["object", "refs"] == [0] and rows.loc["assignment", "numbers"] == [0, 0, 0.5, 1]
+    for broken in ("SSB 1.0", text[:-10], text.replace(" O None", " Q None")):
+        with pytest.raises(ValueError):
+            scene.decode(broken.encode())
+
+
+def test_meshes_with_gaps_in_their_ids():
+    rows = read_off(OFF)
+    gaps = rows.assign(id=rows["id"].where(rows["part"] == "f", rows["id"] * 3 + 1), **{c: rows[c] * 3 + 1 for c in "abc"})
+    assert FORMATS["off"][2](gaps) == FORMATS["off"][2](rows)
+    with pytest.raises(ValueError):
+        FORMATS["off"][2](gaps.assign(a=2.0))
