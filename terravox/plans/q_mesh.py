@@ -291,7 +291,7 @@ def furthest_vertices(spark, sf):
     return N.furthest_vertices(v, f, seeds, 1)
 
 
-@query(f"WITH {_BASE} SELECT vertex_id, round(sum(s * value) / sum(s) + 1.23e-8, 6) AS value FROM (SELECT unnest([v0, v1, v2]) AS vertex_id, s, (face_id % 17)::DOUBLE AS value FROM fn WHERE face_id % 5 > 0) GROUP BY 1", "cells2")
+@query(f"WITH {_BASE} SELECT vertex_id::BIGINT AS vertex_id, round(sum(s * value) / sum(s) + 1.23e-8, 6) AS value FROM (SELECT unnest([v0, v1, v2]) AS vertex_id, s, (face_id % 17)::DOUBLE AS value FROM fn WHERE face_id % 5 > 0) GROUP BY 1", "cells2")
 def vertex_means(spark, sf):
     vertices, faces = _mesh(spark, sf)
     values = faces.where("face_id % 5 > 0").select("face_id", (F.col("face_id") % 17).cast("double").alias("value"))
