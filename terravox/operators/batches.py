@@ -152,3 +152,153 @@ def hull(p: np.ndarray) -> np.ndarray:
         return out
 
     return np.array(half(p)[:-1] + half(p[::-1])[:-1])
+
+
+#: Queries that are held against boxes at once; coordinates of one matrix of distances.
+BLOCK, MATRIX = 256, 1 << 20
+
+
+def places(batch: pa.RecordBatch, axes: tuple[str, ...]) -> np.ndarray:
+    return np.stack([batch[a].to_numpy(zero_copy_only=False).astype(float) for a in axes], axis=1).reshape(-1, len(axes))
+
+
+def cells_of(p: np.ndarray, low: np.ndarray, side: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of cells, n along an axis; what lies outside belongs to the outermost."""
+    with np.errstate(all="ignore"):
+        at = np.clip(np.nan_to_num((p - low) / side * n), 0, n - 1).astype(int)
+    return at @ (n ** np.arange(p.shape[1]))
+
+
+def distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Every q to every p, added up axis by axis as SQL does."""
+    with np.errstate(all="ignore"):
+        d2 = np.zeros((len(q), len(p)))
+        for a in range(q.shape[1]):
+            d = q[:, a, None] - p[None, :, a]
+            d2 += d * d
+        return np.sqrt(d2)
+
+
+def boxes_of(axes: tuple[str, ...], low: np.ndarray, side: np.ndarray, n: int):
+    """A row for each cell that a task's points have: its box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, most = np.full((n ** len(axes), len(axes)), np.inf), np.full((n ** len(axes), len(axes)), -np.inf)
+        for batch in batches:
+            p = places(batch, axes)
+            cell = cells_of(p, low, side, n)
+            np.minimum.at(least, cell, p)
+            np.maximum.at(most, cell, p)
+        own = np.nonzero(least[:, 0] < np.inf)[0]
+        columns = [pa.array(own.astype(np.int32)), *(pa.array(x[own, a]) for x in (least, most) for a in range(len(axes)))]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", *(f"{e}{a}" for e in ("low_", "high_") for a in axes)])
+
+    return run
+
+
+def with_cell(axes: tuple[str, ...], low: np.ndarray, side: np.ndarray, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("cell", pa.array(cells_of(places(batch, axes), low, side, n).astype(np.int32)))
+
+    return run
+
+
+def outermost(axes: tuple[str, ...], directions: np.ndarray):
+    """A task's furthest point in each direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = np.full(len(directions), -np.inf), np.zeros((len(directions), len(axes)))
+        for batch in batches:
+            p = places(batch, axes)
+            if not len(p):
+                continue
+            with np.errstate(all="ignore"):
+                along = np.nan_to_num(p @ directions.T, nan=-np.inf)
+            i = along.argmax(axis=0)
+            top = along[i, np.arange(len(directions))]
+            better = top > best
+            best[better], at[better] = top[better], p[i[better]]
+        own = np.nonzero(best > -np.inf)[0]
+        columns = [pa.array(own.astype(np.int32)), pa.array(best[own]), *(pa.array(at[own, a]) for a in range(len(axes)))]
+        yield pa.RecordBatch.from_arrays(columns, ["direction", "along", *axes])
+
+    return run
+
+
+def _reach(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """At least the distance of each q to whatever lies in each box."""
+    with np.errstate(all="ignore"):
+        d2 = np.zeros((len(q), len(low)))
+        for a in range(q.shape[1]):
+            d = np.maximum(np.abs(q[:, a, None] - low[None, :, a]), np.abs(q[:, a, None] - high[None, :, a]))
+            d2 += d * d
+        return np.sqrt(d2) * (1 + 1e-12)
+
+
+def _blocks(q: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray):
+    """Blocks of near queries: their rows, a distance that each query's furthest point has at least, the boxes that can hold it for some of them, and how far those reach."""
+    side = np.maximum(q.max(axis=0) - q.min(axis=0), 1e-300) if len(q) else np.ones(q.shape[1])
+    order = np.argsort(cells_of(q, q.min(axis=0), side, 8), kind="stable") if len(q) else np.zeros(0, int)
+    for at in range(0, len(q), BLOCK):
+        rows = order[at : at + BLOCK]
+        own = q[rows]
+        floor = distances(own, known).max(axis=1)
+        with np.errstate(all="ignore"):
+            far = np.maximum(np.abs(own.max(axis=0) - low), np.abs(high - own.min(axis=0)))  # of the block's box
+            boxes = np.nonzero(np.sqrt((far * far).sum(axis=1)) * (1 + 1e-9) >= floor.min())[0]
+        reach = _reach(own, low[boxes], high[boxes])
+        can = (reach >= floor[:, None]).any(axis=0)
+        yield rows, floor, boxes[can], reach[:, can]
+
+
+def far_boxes(axes: tuple[str, ...], number: np.ndarray, low: np.ndarray, high: np.ndarray, known: np.ndarray):
+    """Numbers of the boxes that can hold the furthest point of one of a task's queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = np.zeros(len(number), bool)
+        for batch in batches:
+            for _, _, boxes, _ in _blocks(places(batch, axes), low, high, known):
+                live[boxes] = True
+        yield pa.RecordBatch.from_arrays([pa.array(number[live].astype(np.int32))], ["cell"])
+
+    return run
+
+
+def furthest_of(axes: tuple[str, ...], low: np.ndarray, high: np.ndarray, known: np.ndarray, held):
+    """(query_id, point_id, distance) of the furthest point in boxes, ties to the smaller id.
+
+    held: a broadcast of (first row of each box and their end, place of each row's id among all ids, ids, places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, rank, ids, p = held.value
+        for batch in batches:
+            q = places(batch, axes)
+            best, who = np.full(len(q), -1.0), np.full(len(q), -1)
+            for rows, floor, boxes, reach in _blocks(q, low, high, known):
+                own, at_least = q[rows], floor.copy()
+                with np.errstate(all="ignore"):
+                    order = np.argsort(-reach.max(axis=0), kind="stable")
+                at = 0
+                while at < len(order):
+                    part, size = [], 0  # boxes that go into one matrix; one alone may be larger
+                    while at < len(order) and (not part or size + starts[boxes[order[at]] + 1] - starts[boxes[order[at]]] <= MATRIX // BLOCK):
+                        k = order[at]
+                        at += 1
+                        if (reach[:, k] >= at_least).any():
+                            part.append(boxes[k])
+                            size += starts[boxes[k] + 1] - starts[boxes[k]]
+                    points = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in part]) if part else np.zeros(0, int)
+                    points = points[np.argsort(rank[points])]
+                    for i in range(0, len(points), 4 * MATRIX // BLOCK):
+                        some = points[i : i + 4 * MATRIX // BLOCK]
+                        d = distances(own, p[some])
+                        first = d.argmax(axis=1)
+                        top, found = d[np.arange(len(own)), first], some[first]
+                        better = (top > best[rows]) | (top == best[rows]) & (rank[found] < rank[who[rows]])
+                        best[rows[better]], who[rows[better]] = top[better], found[better]
+                    at_least = np.maximum(at_least, best[rows])
+            kept = np.nonzero(who >= 0)[0]
+            yield pa.RecordBatch.from_arrays([batch["query_id"].take(pa.array(kept)), ids.take(pa.array(who[kept])), pa.array(best[kept])], ["query_id", "point_id", "distance"])
+
+    return run

@@ -1,6 +1,8 @@
 """Operators against hand-computed values, numpy and properties."""
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -286,3 +288,34 @@ def test_agglomerative_objects_are_a_fixed_point(spark):
     centre = {c: np.mean([at[i] for i in at if label[i] == c], axis=0) for c in set(label.values())}
     touching = {(label[r.a], label[r.b]) for r in e.collect() if label[r.a] != label[r.b]}
     assert all(1 - np.linalg.norm(centre[a] - centre[b]) / 0.2 < 0.3 for a, b in touching)
+
+
+def test_furthest_in_parts_with_ties_and_odd_places(spark, monkeypatch):
+    """Points on a sphere and inside it, copies of them, and coordinates that are null, not a number or infinite, in SQL's order."""
+    from terravox.operators import spatial_join as J
+
+    monkeypatch.setattr(J, "HELD", 7)
+    rng = np.random.default_rng(8)
+    ball = rng.normal(size=(60, 3))
+    ball[:40] /= np.linalg.norm(ball[:40], axis=1, keepdims=True)
+    p = np.concatenate([ball, ball[:20], np.full((30, 3), 3.0)])
+    schema = "surfel_id long, x double, y double, z double"
+    rows = [(900 - i, *map(float, r)) for i, r in enumerate(p)]
+    inf, nan = float("inf"), float("nan")
+    odd = [(1000, None, 0.0, 0.0), (1001, 0.0, inf, 0.0), (1002, 0.0, -inf, 0.0), (1003, nan, 0.0, 0.0)]
+
+    def want(queries, points):
+        out = {}
+        for i, *q in queries:
+            best = []
+            for j, *r in points:
+                d = None if None in q or None in r else math.sqrt(reduce(add, ((a - b) * (a - b) for a, b in zip(q, r, strict=True))))
+                best.append(((0, 0.0) if d is None else (2, 0.0) if d != d else (1, d), -j))
+            (kind, d), j = max(best)
+            out[i] = (-j, str((None, d, nan)[kind]))
+        return out
+
+    for queries, points in ((rows + odd, rows), (rows[:5] + odd, odd[:1]), (rows + odd, rows + odd[:3])):
+        got = J.furthest(spark.createDataFrame(queries, schema), spark.createDataFrame(points, schema)).collect()
+        assert {r.query_id: (r.point_id, str(r.distance)) for r in got} == want(queries, points) and len(got) == len(queries)
+    assert J.furthest(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)).count() == 0
