@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -162,11 +163,12 @@ def places(batch: pa.RecordBatch, axes: tuple[str, ...]) -> np.ndarray:
     return np.stack([batch[a].to_numpy(zero_copy_only=False).astype(float) for a in axes], axis=1).reshape(-1, len(axes))
 
 
-def cells_of(p: np.ndarray, low: np.ndarray, side: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of cells, n along an axis; what lies outside belongs to the outermost."""
+def cells_of(p: np.ndarray, low: np.ndarray, side: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Numbers of cells, n along an axis (or each axis); what lies outside belongs to the outermost."""
+    n = np.broadcast_to(n, p.shape[1])
     with np.errstate(all="ignore"):
         at = np.clip(np.nan_to_num((p - low) / side * n), 0, n - 1).astype(int)
-    return at @ (n ** np.arange(p.shape[1]))
+    return at @ np.concatenate([[1], np.cumprod(n[:-1])]).astype(int)
 
 
 def distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -302,3 +304,117 @@ def furthest_of(axes: tuple[str, ...], low: np.ndarray, high: np.ndarray, known:
             yield pa.RecordBatch.from_arrays([batch["query_id"].take(pa.array(kept)), ids.take(pa.array(who[kept])), pa.array(best[kept])], ["query_id", "point_id", "distance"])
 
     return run
+
+
+class Views(NamedTuple):
+    """Groups of images by bounds: a row each in low and high (place and direction), the least cosine, and an image of it (place, direction, cosine)."""
+
+    low: np.ndarray
+    high: np.ndarray
+    cosine: np.ndarray
+    one: np.ndarray
+
+
+def view_scores(q: np.ndarray, images: np.ndarray) -> np.ndarray:
+    """Centrality / distance^2 of each q in each image (place, direction, cosine), added up axis by axis as SQL does; -1 if it isn't seen."""
+    with np.errstate(all="ignore"):
+        depth, d2 = np.zeros((len(q), len(images))), np.zeros((len(q), len(images)))
+        for a in range(3):
+            off = q[:, a, None] - images[None, :, a]
+            depth += off * images[None, :, 3 + a]
+            d2 += off * off
+        view = depth / np.sqrt(d2)
+        return np.where((depth > 0) & (view >= images[None, :, 6]), view / d2, -1.0)
+
+
+def _view_bound(low: np.ndarray, high: np.ndarray, v: Views, some=slice(None)) -> np.ndarray:
+    """At least the score of whatever lies in each box of places in each image of a group; -1 if none sees it."""
+    with np.errstate(all="ignore"):
+        depth, d2 = np.zeros((len(low), len(v.low[some]))), np.zeros((len(low), len(v.low[some])))
+        for a in range(3):
+            near, far = low[:, a, None] - v.high[some, a], high[:, a, None] - v.low[some, a]
+            least, most = v.low[some, 3 + a], v.high[some, 3 + a]
+            depth += np.maximum(np.maximum(near * least, near * most), np.maximum(far * least, far * most))
+            gap = np.maximum(0, np.maximum(near, -far))
+            d2 += gap * gap
+        view = np.where(d2 > 0, np.minimum(1.0, depth / np.sqrt(d2)), 1.0) * (1 + 1e-9)
+        return np.where((depth > 0) & (view >= v.cosine[some]), np.where(d2 > 0, view / d2 * (1 + 1e-9), np.inf), -1.0)
+
+
+def _view_blocks(q: np.ndarray, v: Views):
+    """Blocks of near queries: their rows, a score that the best of each has at least, and groups by what they can reach, best first."""
+    side = np.maximum(q.max(axis=0) - q.min(axis=0), 1e-300) if len(q) else np.ones(3)
+    order = np.argsort(cells_of(q, q.min(axis=0), side, 8), kind="stable") if len(q) else np.zeros(0, int)
+    for at in range(0, len(q), BLOCK // 4):
+        rows = order[at : at + BLOCK // 4]
+        own = q[rows]
+        bound = _view_bound(own.min(axis=0)[None], own.max(axis=0)[None], v)[0]
+        first = np.argsort(-bound, kind="stable")
+        first, floor, i = first[bound[first] > 0], np.full(len(own), -1.0), 0
+        while i < len(first) and bound[first[i]] >= floor.min():
+            floor = np.maximum(floor, view_scores(own, v.one[first[i : i + 64]]).max(axis=1))
+            i += 64
+        yield rows, own, floor, first[bound[first] >= floor.min()]
+
+
+def view_cells(number: np.ndarray, v: Views):
+    """Numbers of the groups that can have the best view of one of a task's points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = np.zeros(len(number), bool)
+        for batch in batches:
+            for _, own, floor, groups in _view_blocks(places(batch, ("x", "y", "z")), v):
+                live[groups[(_view_bound(own, own, v, groups) >= floor[:, None]).any(axis=0)]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(number[live].astype(np.int32))], ["cell"])
+
+    return run
+
+
+def leaves(images: np.ndarray, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the images and the first row of each leaf (and their end): halved across the widest side of their places until `most` are left."""
+    order, starts, todo = np.arange(len(images)), [], [(0, len(images))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= most:
+            starts.append(a)
+            continue
+        p = images[order[a:b], :3]
+        half = (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(p[:, np.ptp(p, axis=0).argmax()], half)]
+        todo += [(a, a + half), (a + half, b)]
+    return order, np.append(np.sort(starts), len(images)).astype(int)
+
+
+def best_views(v: Views, held):
+    """(query_id, point_id, score) of the best of the images in held, ties to the smaller id, where no image of v is better.
+
+    held: a broadcast of (first row of each leaf and their end, Views of the leaves, place of each row's id among all ids, ids, images)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, groups, rank, ids, images = held.value
+        for batch in batches:
+            q = places(batch, ("x", "y", "z"))
+            best, who = np.full(len(q), -1.0), np.full(len(q), -1)
+            for rows, own, floor, _ in _view_blocks(q, v):
+                bound = _view_bound(own.min(axis=0)[None], own.max(axis=0)[None], groups)[0]
+                first = np.argsort(-bound, kind="stable")
+                first = first[(bound[first] > 0) & (bound[first] >= floor.min())]
+                reach = _view_bound(own, own, groups, first)
+                for i in range(0, len(first), 8):
+                    if bound[first[i]] < floor.min():
+                        break
+                    can = first[i : i + 8][(reach[:, i : i + 8] >= floor[:, None]).any(axis=0)]
+                    if not len(can):
+                        continue
+                    some = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in can])
+                    some = some[np.argsort(rank[some])]
+                    s = view_scores(own, images[some])
+                    at = s.argmax(axis=1)
+                    top, found = s[np.arange(len(own)), at], some[at]
+                    better = (top > 0) & ((top > best[rows]) | (top == best[rows]) & (rank[found] < rank[who[rows]]))
+                    best[rows[better]], who[rows[better]] = top[better], found[better]
+                    floor = np.maximum(floor, best[rows])
+            kept = np.nonzero(who >= 0)[0]
+            yield pa.RecordBatch.from_arrays([batch["query_id"].take(pa.array(kept)), ids.take(pa.array(who[kept])), pa.array(best[kept])], ["query_id", "point_id", "score"])
+
+    return run

@@ -319,3 +319,36 @@ def test_furthest_in_parts_with_ties_and_odd_places(spark, monkeypatch):
         got = J.furthest(spark.createDataFrame(queries, schema), spark.createDataFrame(points, schema)).collect()
         assert {r.query_id: (r.point_id, str(r.distance)) for r in got} == want(queries, points) and len(got) == len(queries)
     assert J.furthest(spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)).count() == 0
+
+
+def test_best_view_in_parts_with_ties_and_odd_places(spark, monkeypatch):
+    """Images that look anywhere, copies of them, and places that are null or not a number, in SQL's order."""
+    from terravox.operators import spatial_join as J
+
+    monkeypatch.setattr(J, "HELD", 150)
+    rng = np.random.default_rng(9)
+    eye, towards, cos = rng.normal(size=(400, 3)), rng.normal(size=(400, 3)), rng.uniform(0.2, 0.99, 400)
+    towards /= np.linalg.norm(towards, axis=1, keepdims=True)
+    images = [(1000 - i, *map(float, (*eye[i % 300], *towards[i % 300], cos[i % 300]))) for i in range(400)]
+    inf, nan = float("inf"), float("nan")
+    points = [(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(150, 3)) * 1.5)] + [(500, nan, 0.0, 0.0), (501, None, 0.0, 0.0), (502, 0.0, inf, 0.0), (503, 1e6, 1e6, 1e6)]
+    views = "image_id long, ex double, ey double, ez double, tx double, ty double, tz double, cos_half_angle double"
+
+    def want(images):
+        out = {}
+        for i, *q in points:
+            best = []
+            for j, *v in (r for r in images if None not in (*q, *r)):
+                off = [a - b for a, b in zip(q, v[:3], strict=True)]
+                depth, d2 = reduce(add, (a * b for a, b in zip(off, v[3:6], strict=True))), reduce(add, (a * a for a in off))
+                seen = depth / math.sqrt(d2)
+                if not (depth <= 0 or seen < v[6]):
+                    best.append((seen != seen, seen / d2 if seen == seen else 0.0, -j))
+            if best:
+                odd, score, j = max(best)
+                out[i] = (-j, str(nan if odd else score))
+        return out
+
+    for own in (images, images[:20] + [(7, nan, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5), (3, 0.0, 0.0, None, 0.0, 0.0, 1.0, 0.5)]):
+        got = J.best_view(spark.createDataFrame(points, "surfel_id long, x double, y double, z double"), spark.createDataFrame(own, views)).collect()
+        assert {r.surfel_id: (r.image_id, str(r.score)) for r in got} == want(own)
