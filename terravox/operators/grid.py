@@ -95,6 +95,12 @@ def divide_by(cells: DataFrame, k: float) -> DataFrame:
     return cells if abs(k) < GRID_ZERO else apply(cells, V / k)
 
 
+def quotient(a: F.Column, b: F.Column) -> F.Column:
+    """a / b of doubles with SQL's results by zero, of either sign: infinite, or not a number for 0 / 0."""
+    by_zero = F.when((a == 0) | F.isnan(a), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return F.when((b == 0) & a.isNotNull(), by_zero).otherwise(F.try_divide(a, b))
+
+
 def quantise(cells: DataFrame, n: int) -> DataFrame:
     """Equal-width levels 0..n-1 between the least and the largest value; unchanged if those are equal."""
     ends = cells.groupBy("grid_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))  # a row a grid
@@ -136,10 +142,10 @@ def percentile(cells: DataFrame, p: float, key: Sequence[str] = ("grid_id",)) ->
     return ranked.where(F.col("upto") > place).groupBy(*key).agg(F.min("value").alias("value"))
 
 
-def centroid(cells: DataFrame) -> DataFrame:
-    """Value-weighted mean index; sums where the total isn't positive."""
+def centroid(cells: DataFrame, divide: bool = False) -> DataFrame:
+    """Value-weighted mean index; sums where the total isn't positive. divide: by any total, as SQL does (see quotient())."""
     total = F.sum("value")
-    return cells.groupBy("grid_id").agg(*(F.when(total > 0, F.try_divide(F.sum(V * F.col(a)), total)).otherwise(F.sum(V * F.col(a))).alias(f"c{a[1]}") for a in axes_of(cells)))
+    return cells.groupBy("grid_id").agg(*((quotient(F.sum(V * F.col(a)), total) if divide else F.when(total > 0, F.try_divide(F.sum(V * F.col(a)), total)).otherwise(F.sum(V * F.col(a)))).alias(f"c{a[1]}") for a in axes_of(cells)))
 
 
 def covariance(cells: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ _percentile("grid_percentile_one", 1.0, True)
 
 @query("SELECT grid_id, round(sum(value * ix) / sum(value), 6) AS cx, round(sum(value * iy) / sum(value), 6) AS cy, round(sum(value * iz) / sum(value), 6) AS cz FROM cells3 GROUP BY 1", "cells3")
 def grid_centroid(spark, sf):
-    return G.centroid(cells3(spark, sf)).select("grid_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")))
+    return G.centroid(cells3(spark, sf), divide=True).select("grid_id", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")))
 
 
 @query("""SELECT grid_id, round(sum(value * ix * ix) / sum(value) - (sum(value * ix) / sum(value)) ^ 2, 4) AS mxx, round(sum(value * ix * iy) / sum(value) - (sum(value * ix) / sum(value)) * (sum(value * iy) / sum(value)), 4) AS mxy,

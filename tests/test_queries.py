@@ -31,3 +31,33 @@ def test_query(spark, con, name):
     for c in columns:
         x, y = (a[c].astype(float), b[c].astype(float)) if a[c].dtype.kind in "fiu" else (a[c], b[c])
         assert ((x == y) | (x.isna() & y.isna())).all(), c
+
+
+def _on(spark, folder, name, **tables):
+    """Rows of a query and of its SQL, as texts, over tables that are given as SQL."""
+    c = duckdb.connect()
+    for t, sql in tables.items():
+        c.execute(f"copy ({sql}) to '{folder}/{t}.parquet' (format parquet)")
+        c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    got, want = queries.registry()[name](spark, str(folder)).toPandas(), c.sql(queries.oracles()[name]).df()
+    return tuple(sorted(map(str, x[sorted(want.columns)].astype(float).to_numpy().tolist())) for x in (got, want))
+
+
+#: Every cell has as many rows, so none stands out and cells3 is zero throughout.
+EVEN = """SELECT (iz + 1)::INTEGER AS l_linenumber, (ix + 1)::DOUBLE AS l_quantity, iy / 100.0::DOUBLE AS l_discount, 100.0::DOUBLE + ix AS l_extendedprice
+    FROM (SELECT unnest(range(50)) AS ix), (SELECT unnest(range(11)) AS iy), (SELECT unnest(range(7)) AS iz)"""
+
+
+def test_centroid_of_a_grid_of_zeros(spark, tmp_path):
+    got, want = _on(spark, tmp_path, "grid_centroid", lineitem=EVEN)
+    assert got == want == ["[nan, nan, nan, 1.0]"]
+
+
+def test_quotients_by_zero(spark):
+    from pyspark.sql import functions as F
+
+    from terravox.operators.grid import quotient
+
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(((1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (3.0, 2.0), (None, 0.0), (1.0, None)))], "i int, a double, b double")
+    got = [str(r.v) for r in rows.select("i", quotient(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()]
+    assert got == ["inf", "-inf", "nan", "1.5", "None", "None"]
