@@ -108,10 +108,10 @@ def quantise(cells: DataFrame, n: int) -> DataFrame:
     return cells.join(F.broadcast(ends), "grid_id").withColumn("value", F.when(F.col("hi") > F.col("lo"), level).otherwise(V)).drop("lo", "hi")
 
 
-def normalize(cells: DataFrame) -> DataFrame:
-    """By the square root of the sum of squares."""
+def normalize(cells: DataFrame, divide: bool = False) -> DataFrame:
+    """By the square root of the sum of squares; unchanged where that is zero. divide: by any, as SQL does (see quotient())."""
     norm = cells.groupBy("grid_id").agg(F.sqrt(F.sum(V * V)).alias("norm"))
-    return cells.join(F.broadcast(norm), "grid_id").withColumn("value", F.when(F.col("norm") > 0, F.try_divide(V, F.col("norm"))).otherwise(V)).drop("norm")
+    return cells.join(F.broadcast(norm), "grid_id").withColumn("value", quotient(V, F.col("norm")) if divide else F.when(F.col("norm") > 0, F.try_divide(V, F.col("norm"))).otherwise(V)).drop("norm")
 
 
 def forward_difference(cells: DataFrame, axis: str) -> DataFrame:

@@ -62,7 +62,7 @@ _pair("grid_overlay", "overlay", "CASE WHEN other IS NOT NULL AND other <> 0 THE
 _pair("grid_min", "min", "least(value, other)", True)
 _pair("grid_max", "max", "greatest(value, other)", True)
 _cell("grid_hash", lambda c: G.quantise(c, 16), """SELECT grid_id, ix, iy, least(15, trunc(16 * (value - lo) / (hi - lo)))::DOUBLE AS value FROM cells2, (SELECT min(value) AS lo, max(value) AS hi FROM cells2)""")
-_cell("grid_normalize", lambda c: G.normalize(c), "SELECT grid_id, ix, iy, iz, round(value / norm, 8) AS value FROM cells3, (SELECT sqrt(sum(value * value)) AS norm FROM cells3)", True, 8)
+_cell("grid_normalize", lambda c: G.normalize(c, divide=True), "SELECT grid_id, ix, iy, iz, round(value / norm, 8) AS value FROM cells3, (SELECT sqrt(sum(value * value)) AS norm FROM cells3)", True, 8)
 _cell("grid_du", lambda c: G.forward_difference(c, "ix"), """SELECT grid_id, ix, iy, round(CASE WHEN value <> 0 AND n <> 0 THEN n - value END, 4) AS value FROM (SELECT *, lead(value) OVER (PARTITION BY iy ORDER BY ix) AS n FROM cells2)""")
 _cell("grid_dv", lambda c: G.forward_difference(c, "iy"), """SELECT grid_id, ix, iy, round(CASE WHEN value <> 0 AND n <> 0 THEN n - value END, 4) AS value FROM (SELECT *, lead(value) OVER (PARTITION BY ix ORDER BY iy) AS n FROM cells2)""")
 _cell("grid_slice", lambda c: c.where("iz = 2").drop("iz"), "SELECT grid_id, ix, iy, round(value, 4) AS value FROM cells3 WHERE iz = 2", True)

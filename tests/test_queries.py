@@ -61,3 +61,8 @@ def test_quotients_by_zero(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(((1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (3.0, 2.0), (None, 0.0), (1.0, None)))], "i int, a double, b double")
     got = [str(r.v) for r in rows.select("i", quotient(F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()]
     assert got == ["inf", "-inf", "nan", "1.5", "None", "None"]
+
+
+def test_normalize_a_grid_of_zeros(spark, tmp_path):
+    got, want = _on(spark, tmp_path, "grid_normalize", lineitem=EVEN)
+    assert got == want and len(got) == 3850 and all("nan" in r for r in got)
